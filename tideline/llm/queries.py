@@ -5,21 +5,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Host, path and verdict of the query's rules.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed are the urls of the pages whose id is labelled toxic."""
+    from tideline.llm.url_filter import Rule, filter_urls
+
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    toxic = read(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    listed = pages.join(toxic, "page_id", "left_semi").select("url")
+    return filter_urls(pages, listed, [Rule(*rule) for rule in URL_RULES])
+
+
 def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.sharding import shard_documents
 
     return shard_documents(read(spark, sf_dir, "documents"), shards=24)
 
 
+ORACLES = {
+    "op1_url_filter": r"""
+        with p as (
+            select page_id,
+                coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') as path
+            from pages),
+        listed as (
+            select distinct host || path as key from p
+            where host || path <> '' and page_id in (select doc_id from labels where toxic = 1)),
+        r(verdict, rhost, rpath) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'),
+            ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+        judged as (
+            select p.*, host || path in (select key from listed) as listed,
+                (select max_by(struct_pack(rule := rhost || rpath, verdict := verdict), length(rhost || rpath)) from r
+                 where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)) as best
+            from p)
+        select page_id, host, path, best.rule as rule, listed,
+            coalesce(best.verdict, case when listed then 'block' else 'allow' end) as verdict
+        from judged""",
+}
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
