@@ -38,6 +38,12 @@ def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.quality import judge_documents
+
+    return judge_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 ORACLES = {
     "op1_url_filter": r"""
         with p as (
