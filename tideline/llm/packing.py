@@ -39,7 +39,7 @@ class ComplementIndex:
         self.counts = counts
 
     def _pair(self, total: int) -> tuple[int, int] | None:
-        """The most even pair is left for later; the most uneven one comes first."""
+        """The pair with the longest piece comes first, as in best-fit packing."""
         if total < 2:
             return None
         high = np.arange(total - 1, (total - 1) // 2, -1)
@@ -49,11 +49,16 @@ class ComplementIndex:
         at = int(found.argmax()) if found.size else 0
         return (int(high[at]), int(low[at])) if found.size and found[at] else None
 
-    def find(self, total: int) -> tuple[int, ...] | None:
+    def find(self, total: int, parts: int) -> tuple[int, ...] | None:
+        """The fewest lengths, at most ``parts``, that sum to ``total``."""
         if self.counts[total] > 0:
             return (total,)
+        if parts < 2:
+            return None
         if pair := self._pair(total):
             return pair
+        if parts < 3:
+            return None
         for high in np.flatnonzero(self.counts[: total - 1])[::-1].tolist():
             self.counts[high] -= 1
             pair = self._pair(total - high)
@@ -76,9 +81,18 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     From the longest length down, each piece takes the single length, the pair
     or the triple that exactly fills its sequence, as often as availability
     allows.  What has no exact complement is packed best-fit, longest first.
-    Every step uses up a length or (but for a remainder) a kind of open
-    sequence, so the plan's size follows the capacity, not the input.
+    Combinations fill early sequences to the brim, but where most pieces are
+    long they can leave too few short ones for the rest.  So three plans are
+    made, with complements of up to one, two and three pieces, and the one
+    with the fewest sequences is used.
     """
+    plans = [_plan(histogram, capacity, parts) for parts in (3, 2, 1)]
+    return min(plans, key=lambda plan: sum(pattern.times for pattern in plan))
+
+
+def _plan(histogram: dict[int, int], capacity: int, parts: int) -> list[Pattern]:
+    """Every step uses up a length or (but for a remainder) a kind of open
+    sequence, so the plan's size follows the capacity, not the input."""
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         if not 0 < length <= capacity:
@@ -97,7 +111,7 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     for length in range(capacity - 1, 0, -1):
         while counts[length]:
             counts[length] -= 1
-            rest = index.find(capacity - length)
+            rest = index.find(capacity - length, parts)
             counts[length] += 1
             if rest is None:
                 break
