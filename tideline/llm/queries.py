@@ -32,6 +32,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, listed, [Rule(*rule) for rule in URL_RULES])
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.warc import read_warc, write_warc
+
+    pages = read(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    return read_warc(write_warc(pages, min_bytes=0)).select(
+        F.col("page_id").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
