@@ -69,6 +69,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.language import identify_languages
+
+    return identify_languages(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.quality import judge_documents
 
