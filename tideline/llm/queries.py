@@ -69,6 +69,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), width=3, threshold=0.85)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.language import identify_languages
 
