@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm import license_scan
 from tideline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, listed, [Rule(*rule) for rule in URL_RULES])
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.decontaminate import find_leaks
 
@@ -113,6 +118,7 @@ ORACLES = {
         select page_id, host, path, best.rule as rule, listed,
             coalesce(best.verdict, case when listed then 'block' else 'allow' end) as verdict
         from judged""",
+    "op2_license_scan": license_scan.oracle_sql(),
 }
 
 
