@@ -1,17 +1,20 @@
-"""Token ids and counts from per-worker caches of pre-tokens.
+"""Token ids, and token counts from per-worker caches of pre-tokens.
 
-Both tokenizers used here never join what lies on two sides of certain blanks,
-so a text can be cut there and each piece looked up.  Pieces of text repeat,
-so most lookups end in a hash table; only the rest reach the tokenizer.
+A sentencepiece model never joins what lies on two sides of certain blanks, so
+a text can be cut there and each piece looked up.  Pieces of text repeat, so
+most lookups end in a hash table; only the rest reach the tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,10 +99,14 @@ class ByteIds:
     """Ids of a byte-level BPE of the tokenizers library, as little-endian
     unsigned 32-bit integers in a bytes object.
 
-    Its pre-tokens take at most one blank, at their start, so no token crosses
-    the border before a single blank, or around a line feed, that stands
-    between two other characters.  Texts with blanks side by side, or with the
-    string of a special token, are encoded whole.
+    The same vocabulary can be read as ranks, by which tiktoken encodes about
+    nine times as fast.  Merging by ranks equals merging by the list of merges
+    if ids follow the order of merges and each token's own string is encoded
+    as that token; both are checked for the file at hand.  Its pattern and the
+    pre-tokenizer's differ at most where the two libraries know different
+    versions of Unicode, so only texts of long settled characters go that way,
+    and none with the string of a special token.  All others, and all texts if
+    the check fails, are encoded by tokenizers itself.
     """
 
     def __init__(self, path: str):
@@ -107,36 +114,69 @@ class ByteIds:
 
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.line = self.encode("\n")
-        self.first = Cache(lambda piece: self.encode_piece(piece, ""))
-        self.later = Cache(lambda piece: self.encode_piece(piece, " "))
+        self.ranks = self._as_ranks(path)
+
+    def _as_ranks(self, path: str):
+        """An encoding by ranks, or None if it might differ."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        vocabulary, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        before = spec["pre_tokenizer"]
+        plain = (
+            spec["normalizer"] is None
+            and before["type"] == "ByteLevel"
+            and before["use_regex"]
+            and not before["add_prefix_space"]
+            and not spec["model"].get("ignore_merges")
+        )
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        made = [vocabulary[a + b] for a, b in pairs]
+        tokens = [t for t in vocabulary if t not in self.special]
+        if not plain or made != sorted(set(made)) or len(tokens) - len(made) != 256 or made[0] != 256:
+            return None
+        if any([x.id for x in self.model.model.tokenize(t)] != [vocabulary[t]] for t in tokens):
+            return None
+        ranks = {bytes(map(_BYTE_OF.__getitem__, t)): vocabulary[t] for t in tokens}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         ids = self.model.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
-
-    def encode_piece(self, piece: str, before: str) -> bytes | None:
-        """None: a blank touches the border, so the cut is not allowed."""
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            return None
-        return self.encode(before + piece)
+        return np.array(ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special):
+        if self.ranks is None or any(s in text for s in self.special) or not is_settled(text):
             return self.encode(text)
-        lines = []
-        for line in text.split("\n"):
-            pieces = line.split(" ")
-            out = list(map(self.later.__getitem__, pieces[1:]))
-            out.insert(0, self.first[pieces[0]])
-            if None in out:
-                return self.encode(text)
-            lines.append(b"".join(out))
-        self.first.settle()
-        self.later.settle()
-        return self.line.join(lines)
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+#: Fixed value: the pre-tokenizer's pattern, as byte-level BPE defines it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[str, int]:
+    """Byte-level BPE writes printable bytes of Latin-1 as themselves and the
+    others, in order, as the characters from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
+
+
+_BYTE_OF = _byte_letters()
+#: Latin, Greek, Cyrillic, general punctuation, currency, kana and the first block of Han.
+_UNSETTLED = re.compile("[^\x00-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5]")
+
+
+def is_settled(text: str) -> bool:
+    """Only characters whose class no version of Unicode has changed for long."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _UNSETTLED.search(text) is None
+    return True
 
 
 @lru_cache(maxsize=4)
