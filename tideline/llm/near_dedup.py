@@ -8,9 +8,11 @@
    with it.  So a bucket of m classes gives m - 1 pairs.
 3. Signatures estimate the similarity of a pair, corrected for chance
    collisions; pairs that are not far below the threshold are checked exactly.
-4. Links make components.  Pairs of a bucket that lie in one component need no
-   check.  The others are compared block by block, inside tasks, and only
-   pairs whose estimate is near the threshold leave them for the exact check.
+4. Links make components, and chains of buckets make families.  Where a family
+   still has several components, its members meet in pairs of blocks inside
+   tasks, the signatures choose which pairs of different components to check
+   on full sets, likeliest first, and what leaves a task is a spanning forest
+   of the links it found: fewer rows than members.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from tideline.llm.tokens import Cache
 #: Minima of a signature; low bits kept of each; minima of a band.
 MINIMA, LOW_BITS, BAND = 128, 16, 4
 BANDS = MINIMA // BAND
-#: Members of a block when the rest of a bucket is compared.
+#: Members of a block when the rest of a family is compared.
 BLOCK = 256
 #: Standard errors that an estimate may lie below the threshold.
 MARGIN = 5.0
@@ -133,8 +135,7 @@ def least_estimate(threshold: float) -> float:
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
-    """(u, v): each class with its bucket's hub, once.  ``members`` has band,
-    value, node, hub."""
+    """(u, v): each class with the hubs of its buckets, each once."""
     return members.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
 
 
@@ -175,27 +176,74 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(u, v) of one bucket but of two components, near by estimate.
+def least_lanes(threshold: float) -> float:
+    """Equal lanes that an estimate of ``least_estimate`` amounts to."""
+    chance = 2.0**-LOW_BITS
+    return (least_estimate(threshold) * (1 - chance) + chance) * MINIMA
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """The exact test, in whole numbers."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def links_between(group: pa.Table, need: float, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that join components of two blocks, each joining two at most once."""
+    nodes = group["node"].to_pylist()
+    roots = np.unique(np.array(group["root"].to_pylist(), object), return_inverse=True)[1]
+    lanes = np.array(group["bands"].to_pylist(), np.int64).view(np.uint16)
+    sets = [s.values.to_numpy() for s in group["shingles"]]
+    right, both = (np.array(group[c].to_pylist(), bool) for c in ("right", "both"))
+    parent = list(range(int(roots.max()) + 1))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    # Equal blocks: each with the ones after it; else left with right.
+    one, two = np.flatnonzero(both | ~right), np.flatnonzero(both | right)
+    pairs = []
+    for at in one.tolist():
+        to = two[roots[two] != roots[at]]
+        if both[at]:
+            to = to[to > at]
+        equal = (lanes[to] == lanes[at]).sum(axis=1)
+        pairs += [(-n, at, k) for n, k in zip(equal.tolist(), to.tolist(), strict=True) if n >= need]
+    found = []
+    for _, at, k in sorted(pairs):
+        x, y = top(int(roots[at])), top(int(roots[k]))
+        if x != y and similar(sets[at], sets[k], percent):
+            parent[x] = y
+            found.append((nodes[at], nodes[k]))
+    return found
+
+
+def links_within_families(
+    families: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float
+) -> DataFrame:
+    """(u, v): links between different components of one family.
 
-    A bucket is cut into blocks of about ``BLOCK`` members and each pair of
-    blocks is compared inside a task, so no bucket is gathered whole and no
-    pair that fails the estimate becomes a row.
+    A family is cut into blocks of about ``BLOCK`` members, and each pair of
+    blocks is a group of its own, so no family is gathered whole.
     """
-    labelled = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = families.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = (
-        labelled.groupBy("band", "value")
+        labelled.groupBy("family")
         .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
         .filter("low <> high")
-        .select("band", "value", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        .select("family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = labelled.select("band", "value", "node", "root").join(mixed, ["band", "value"])
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.join(classes.select("node", "bands"), "node").select(
-        "band",
-        "value",
+    rows = labelled.join(mixed, "family").join(classes.select("node", "bands"), "node").join(sets, "node")
+    dealt = rows.select(
+        "*",
+        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    ).select(
+        "family",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).alias("right"),
@@ -203,71 +251,52 @@ def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, thres
         "node",
         "root",
         "bands",
+        "shingles",
     )
-    least = least_estimate(threshold)
-    chance = 2.0**-LOW_BITS
-    need = (least * (1 - chance) + chance) * MINIMA
+    need, percent = least_lanes(threshold), round(100 * threshold)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _sorted_groups(batches, 4):
-            nodes = group["node"].to_pylist()
-            roots = np.unique(np.array(group["root"].to_pylist(), object), return_inverse=True)[1]
-            lanes = np.array(group["bands"].to_pylist(), np.int64).view(np.uint16)
-            right, both = (np.array(group[c].to_pylist(), bool) for c in ("right", "both"))
-            # Equal blocks: each with the ones after it; else left with right.
-            one = np.flatnonzero(both | ~right)
-            two = np.flatnonzero(both | right)
-            us, vs = [], []
-            for at in one.tolist():
-                to = two[roots[two] != roots[at]]
-                if both[at]:
-                    to = to[to > at]
-                near = to[(lanes[to] == lanes[at]).sum(axis=1) >= need]
-                us += [nodes[at]] * len(near)
-                vs += [nodes[k] for k in near.tolist()]
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
-
-    keys = ["band", "value", "i", "j"]
-    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "u binary, v binary")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Of (u, v) those whose full shingle sets are similar enough.
-
-    The test is 100 * intersection >= 100 * threshold * union in whole numbers.
-    Only texts that some pair asks for are read again.
+        for group in _sorted_groups(batches, 3):
+            if found := links_between(group, need, percent):
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+    keys = ["family", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "u binary, v binary")
+
+
+def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the full set of each class in ``nodes``.
+
+    Only the texts of these classes are read again.
     """
-    percent = round(100 * threshold)
-    asked = stored(
-        pairs.select(F.col("u").alias("node"))
-        .unionByName(pairs.select(F.col("v").alias("node")))
-        .distinct()
-        .join(classes.select("node", "doc_id"), "node")
-    )
+    asked = stored(nodes.join(classes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("_id"), "node"))
     few = asked.count() <= BROADCAST_IDS
-    wanted = asked.select(F.col("doc_id").alias("_id"), F.col("node"))
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = docs.join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("_id")))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, shingles = [], []
+            found_nodes, shingles = [], []
             for text, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = shingle_set(text, width)
                 # Another text under the same id is not the one asked for.
                 if len(found) and xxhash.xxh3_128_digest(found.tobytes()) == node:
-                    nodes.append(node)
+                    found_nodes.append(node)
                     shingles.append(found.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.binary()), pa.array(shingles, pa.list_(pa.int64()))], ["node", "shingles"]
+                [pa.array(found_nodes, pa.binary()), pa.array(shingles, pa.list_(pa.int64()))], ["node", "shingles"]
             )
 
     # Rows that repeat an id and text give equal sets; one of them is enough.
-    full = texts.select("text", "node").mapInArrow(sets, "node binary, shingles array<long>")
-    full = stored(full.dropDuplicates(["node"]))
-    u = full.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
-    v = full.select(F.col("node").alias("v"), F.col("shingles").alias("set_v"))
+    return texts.select("text", "node").mapInArrow(collect, "node binary, shingles array<long>").dropDuplicates(["node"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of (u, v) those whose full shingle sets are similar enough: 100 *
+    intersection >= 100 * threshold * union, in whole numbers."""
+    percent = round(100 * threshold)
+    u = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
+    v = sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v"))
     common = F.size(F.array_intersect("set_u", "set_v")).cast("long")
     union = F.size("set_u") + F.size("set_v") - common
     return pairs.join(u, "u").join(v, "v").filter(100 * common >= percent * union).select("u", "v")
@@ -299,16 +328,16 @@ def near_duplicates(
     banded = classes.select("node", F.posexplode("bands").alias("band", "value"))
     buckets = banded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count("*").alias("size"))
     buckets = buckets.filter("size > 1")
-    members = stored(banded.join(buckets, ["band", "value"]).select("band", "value", "node", "hub"))
+    stars = stored(star_pairs(banded.join(buckets, ["band", "value"]).select("node", "hub")))
+    families = stored(connected_components(stars).withColumnRenamed("root", "family"))
+    sets = stored(sets_of(families.select("node"), own, classes, width))
 
-    first = confirmed(stored(near_pairs(star_pairs(members), classes, threshold)), own, classes, width, threshold)
-    first = stored(first)
+    first = confirmed(near_pairs(stars, classes, threshold), sets, threshold)
     labels = stored(connected_components(first))
-    rest = stored(cross_pairs(members, classes, labels, threshold))
-    if not rest.isEmpty():
-        more = confirmed(rest, own, classes, width, threshold)
+    more = stored(links_within_families(families, labels, classes, sets, threshold))
+    if not more.isEmpty():
         tied = labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        labels = stored(connected_components(stored(tied.unionByName(more))))
+        labels = stored(connected_components(tied.unionByName(more)))
 
     named = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = (
@@ -327,3 +356,12 @@ def near_duplicates(
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         (alone | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, but for one document of each group."""
+    found = near_duplicates(docs, width, threshold)
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept")
+    gone = stored(gone.select(F.col("doc_id").alias("_gone")))
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
