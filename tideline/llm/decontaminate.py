@@ -12,13 +12,15 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: BM25's usual constants.
@@ -274,14 +276,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no test item."""
-    spark = docs.sparkSession
     kept = docs
     for index in indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+        kept = kept.filter(_clean(docs.sparkSession.sparkContext.broadcast(index), threshold)(docs["text"]))
+    return kept
 
-        @F.pandas_udf("boolean")
-        def is_clean(texts, shared=shared):
-            return texts.map(lambda text: not shared.value.leaks(text, threshold))
 
-        kept = kept.filter(is_clean("text"))
-    return kept
+def _clean(shared: Broadcast, threshold: float) -> Callable[[Column], Column]:
+    @F.pandas_udf("boolean")
+    def is_clean(texts: pd.Series) -> pd.Series:
+        index = shared.value
+        return pd.Series([not index.leaks(text, threshold) for text in texts], dtype=bool)
+
+    return is_clean

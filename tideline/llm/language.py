@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,11 +193,32 @@ def predict_languages(docs: DataFrame, model: Model, keep: list[str] | None = No
     )
 
 
+def with_known_language(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in some language.
+
+    Rejected are texts without a letter and those for which no language has
+    more evidence than another (a score of ``min_score`` or less).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.false_rate))
+
+    @F.pandas_udf("boolean")
+    def is_known(texts: pd.Series) -> pd.Series:
+        own = Model(*shared.value)
+        found = [own.predict(text) for text in texts]
+        return pd.Series([language != UNKNOWN and score > min_score for language, score in found], dtype=bool)
+
+    return docs.filter(is_known(docs["text"]))
+
+
 def held_out(doc_id: Column) -> Column:
     """Every fifth document by the checksum of its id is not learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def for_learning(docs: DataFrame) -> DataFrame:
+    return docs.filter(~held_out(docs["doc_id"]) & docs["doc_id"].isNotNull())
+
+
 def identify_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of ``docs``.
 
@@ -204,5 +226,5 @@ def identify_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataF
     out nor learnt from.  Repeated rows get equal answers, an empty table none.
     """
     own = docs.select(docs["doc_id"], docs["text"], docs["lang"])
-    model = learn(own.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()), sample_docs)
+    model = learn(for_learning(own), sample_docs)
     return predict_languages(own, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
