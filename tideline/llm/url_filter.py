@@ -41,7 +41,7 @@ def host_of(url: Column) -> Column:
 
 def path_of(url: Column) -> Column:
     """What follows the host, up to ? # or the end; else empty."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[Rule], part: str) -> Column:
