@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Entries of one generation of a worker's cache; two generations are held.
 CACHE_ENTRIES = 200_000
+#: Longer texts are not sampled for the table of frequent pieces.
+SAMPLE_TEXT_BYTES = 1 << 14
 #: Longer pieces are not kept.
 CACHE_KEY_CHARS = 64
 
@@ -88,7 +90,8 @@ class PieceCounter:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if not self.cuts or "  " in text or text[0] == " ":
+        # The model's own sign for a blank, in a text, joins blanks around it.
+        if not self.cuts or "  " in text or text[0] == " " or "▁" in text:
             return len(self.model.encode(text, num_threads=1))
         n = sum(map(self.cache.__getitem__, self.pieces(text)))
         self.cache.settle()
@@ -198,28 +201,18 @@ def piece_counter(path: str, table: str, frequent) -> PieceCounter:
 
 
 def frequent_pieces(docs: DataFrame, path: str, sample_docs: int, entries: int) -> dict[str, int]:
-    """The most frequent pieces of at most ``sample_docs`` texts, with token counts.
+    """The most frequent pieces of a sample of texts, with their token counts.
 
-    The sample only decides what is looked up first; no result depends on it.
+    The sample is at most ``sample_docs`` whole texts of at most
+    ``SAMPLE_TEXT_BYTES``, so what comes to the driver has a bound.  It only
+    decides what is looked up first; no result depends on it.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(p for p in PieceCounter.pieces(text) if len(p) <= CACHE_KEY_CHARS)
-        top = seen.most_common(entries)
-        yield pa.RecordBatch.from_pydict(
-            {"piece": pa.array([p for p, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())}
-        )
-
-    sample = docs.select("text").filter("text is not null").limit(sample_docs)
-    total: Counter[str] = Counter()
-    # A limited frame has one partition, so this is at most ``entries`` rows.
-    for row in sample.coalesce(1).mapInArrow(count, "piece string, n long").toLocalIterator():
-        total[row["piece"]] += row["n"]
+    short = docs.select("text").filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+    seen: Counter[str] = Counter()
+    for row in short.limit(sample_docs).collect():
+        seen.update(p for p in PieceCounter.pieces(row["text"]) if len(p) <= CACHE_KEY_CHARS)
     counter = PieceCounter(path)
-    return {p: counter.count_piece(p) for p, _ in total.most_common(entries)}
+    return {p: counter.count_piece(p) for p, _ in seen.most_common(entries)}
 
 
 def count_tokens(
