@@ -147,7 +147,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, filter_ngrams: int =
             texts: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 texts.setdefault(lang, []).extend(grams(text))
-            for lang, codes in texts.items():
+            for lang, codes in ((lang, codes) for lang, codes in texts.items() if codes):
                 values, n = np.unique(np.concatenate(codes), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n, pa.int64())],

@@ -364,4 +364,4 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, threshold: float =
     gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept")
     gone = stored(gone.select(F.col("doc_id").alias("_gone")))
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")
