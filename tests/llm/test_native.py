@@ -167,7 +167,8 @@ def test_binomial_bound_is_exact(spark, k, n, p):
 
 
 def test_cutoffs_keep_their_promise(spark):
-    n = 6000
+    n = 12_000
+    assert sum(rule.part for rule in quality.SIGNALS) == 1.0
     good = "(id % 200) / 1000.0"
     signals = spark.range(n).selectExpr(
         "id as doc_id", "'en' as s", "100L as n_words", "500L as word_chars", f"cast(100 * {good} as bigint) as n_symbols",

@@ -183,3 +183,17 @@ def test_virtual_offset_keeps_the_partition_filter_at_the_scan(spark, capsys):
 
     events.event_log(spark, DATA).filter("topic = 'click'").explain()
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in capsys.readouterr().out
+
+
+def test_scratch_can_be_cleared(spark, tmp_path):
+    from tideline.functions import scratch
+
+    before = list(scratch._MADE)
+    scratch._MADE.clear()
+    try:
+        assert scratch.stored(spark.range(5)).count() == 5
+        (path,) = scratch._MADE
+        assert scratch.clear_scratch(spark) == 1
+        assert not spark._jvm.java.io.File(path.removeprefix("file://").removeprefix("file:")).exists()
+    finally:
+        scratch._MADE.extend(before)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions.scratch import scratch_dir, stored
+
+__all__ = ["ascii_lower", "join_to_groups", "read", "scratch_dir", "stored", "values"]
+
 #: Words are maximal runs of bytes outside these (space and \t \n \v \f \r).
 BLANKS = " \t\n\x0b\x0c\r"
 #: The same as a Java or RE2 character class.
@@ -24,33 +28,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which the cluster shares.
-
-    Only where that setting is missing (tests, a laptop) a temporary folder
-    takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tideline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tideline-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a read, not a recomputation,
-    and every later pass sees the same rows.
-    """
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def own_columns(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under private names: extra ones cannot clash."""
-    return df.select(*[df[old].alias(new) for new, old in columns.items()])
+def values(column: pa.Array, step: int = 256) -> Iterator:
+    """A column's values, of which only a few at a time are Python objects."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
 
 
 def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, share: int = 10_000) -> DataFrame:
@@ -69,10 +50,10 @@ def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, shar
         return rows.join(F.broadcast(hot), key, "left")
     values = [c for c in groups.columns if c != key]
     first = rows.join(F.broadcast(hot.select(key, *[F.col(c).alias(f"_hot_{c}") for c in values])), key, "left")
-    # Rows of a hot group get a null key for the shuffled join; a left join
-    # leaves null keys unmatched, and a random part of the key spreads them.
-    is_hot = F.col(f"_hot_{size}").isNotNull()
-    spread = F.when(is_hot, F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(1024))).otherwise(F.lit(-1))
+    # Rows of a hot group, and those without a key, match nothing in the
+    # shuffled join: a part of its key that is drawn by their hash spreads them.
+    settled = F.col(f"_hot_{size}").isNotNull() | F.col(key).isNull()
+    spread = F.when(settled, F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(1024))).otherwise(F.lit(-1))
     first = first.withColumn("_part", spread)
     rest = cold.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_cold_{c}") for c in values]).withColumn("_at", F.lit(-1))
     both = first.join(rest, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_at")), "left")

@@ -23,6 +23,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import values
+
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 #: Postings of a block; share of an item's own score that retrieval asks for.
@@ -253,7 +255,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             own_index = shared.value
             for batch in batches:
                 rows, hits = [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
+                for i, text in enumerate(values(batch.column(1))):
                     for hit in own_index.leaks(text, threshold):
                         rows.append(i)
                         hits.append(hit)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import stored
+from tideline.llm.common import stored, values
 
 #: Bytes of an n-gram; n-grams a language's filter takes; languages at most.
 NGRAM, FILTER_NGRAMS, MAX_LANGUAGES = 5, 5_000, 64
@@ -145,12 +145,12 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, filter_ngrams: int =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, lang in zip(*map(values, batch.columns), strict=True):
                 texts.setdefault(lang, []).extend(grams(text))
             for lang, codes in ((lang, codes) for lang, codes in texts.items() if codes):
-                values, n = np.unique(np.concatenate(codes), return_counts=True)
+                found, n = np.unique(np.concatenate(codes), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n, pa.int64())],
+                    [pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n, pa.int64())],
                     ["lang", "gram", "n"],
                 )
 
@@ -181,7 +181,7 @@ def predict_languages(docs: DataFrame, model: Model, keep: list[str] | None = No
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            found = [own.predict(text) for text in batch.column(0).to_pylist()]
+            found = [own.predict(text) for text in values(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 [*keep, "lang_pred", "score"],

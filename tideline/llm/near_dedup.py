@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import join_to_groups, stored
+from tideline.llm.common import join_to_groups, stored, values
 from tideline.llm.components import connected_components
 from tideline.llm.tokens import Cache
 
@@ -96,7 +96,7 @@ def signed_documents(docs: DataFrame, width: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, bands = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 shingles = shingle_set(text, width)
                 sizes.append(len(shingles))
                 keys.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
@@ -277,7 +277,7 @@ def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found_nodes, shingles = [], []
-            for text, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, node in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
                 found = shingle_set(text, width)
                 # Another text under the same id is not the one asked for.
                 if len(found) and xxhash.xxh3_128_digest(found.tobytes()) == node:

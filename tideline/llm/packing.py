@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import stored
+from tideline.llm.common import stored, values
 from tideline.llm.tokens import byte_ids
 
 
@@ -158,7 +158,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
         coder = byte_ids(tokenizer)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(values(batch.column(1))):
                 ids = coder.ids(text or "") + end
                 total = len(ids) // 4
                 at, n = 0, 0

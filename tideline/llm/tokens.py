@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import values
+
 #: Entries of one generation of a worker's cache; two generations are held.
 CACHE_ENTRIES = 200_000
 #: Longer texts are not sampled for the table of frequent pieces.
@@ -242,7 +244,7 @@ def count_tokens(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = piece_counter(model, name, table)
         for batch in batches:
-            counts = [counter.count(t) if t else 0 for t in batch.column(2).to_pylist()]
+            counts = [counter.count(t) if t else 0 for t in values(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
             )

@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import join_to_groups, scratch_dir, stored
+from tideline.llm.common import join_to_groups, scratch_dir, stored, values
 
 #: Compressed bytes after which a task starts another archive.
 ARCHIVE_BYTES = 64 << 20
@@ -201,7 +201,7 @@ def write_warc(
         out, name, records, size = None, "", 0, 0
         done: list[tuple[str, int, int]] = []
         for batch in batches:
-            for page, link, body, digest, original in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, link, body, digest, original in zip(*map(values, batch.columns), strict=True):
                 if out is None:
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
