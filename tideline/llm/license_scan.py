@@ -9,6 +9,7 @@ its blocks between blank lines, and its lines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import LOWER, UPPER, ascii_lower
+from tideline.llm.license_texts import published
 
 #: Known texts up to which their digests are broadcast (about 100 bytes each).
 BROADCAST_LICENSES = 100_000
@@ -88,16 +90,52 @@ KNOWN = (
     License("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
     License("CC-BY-4.0", "Licensed under CC BY 4.0."),
     License("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    *(License(*known) for known in published()),
 )
 #: Spellings that licence matching holds to be equal, after lower-casing.
 SPELLINGS = (
     ("licence", "license"),
     ("sublicence", "sublicense"),
+    ("sub license", "sublicense"),
     ("acknowledgement", "acknowledgment"),
+    ("analogue", "analog"),
+    ("analyse", "analyze"),
+    ("artefact", "artifact"),
+    ("authorisation", "authorization"),
+    ("authorised", "authorized"),
+    ("calibre", "caliber"),
+    ("cancelled", "canceled"),
+    ("capitalisations", "capitalizations"),
+    ("catalogue", "catalog"),
+    ("categorise", "categorize"),
+    ("centre", "center"),
+    ("copyright owner", "copyright holder"),
+    ("copyright owners", "copyright holders"),
+    ("emphasised", "emphasized"),
     ("favour", "favor"),
+    ("favourite", "favorite"),
     ("fulfil", "fulfill"),
+    ("fulfilment", "fulfillment"),
+    ("https", "http"),
+    ("initialise", "initialize"),
+    ("judgement", "judgment"),
+    ("labelling", "labeling"),
+    ("labour", "labor"),
+    ("maximise", "maximize"),
+    ("modelled", "modeled"),
+    ("modelling", "modeling"),
+    ("offence", "offense"),
+    ("optimise", "optimize"),
     ("organisation", "organization"),
+    ("organise", "organize"),
+    ("practise", "practice"),
+    ("programme", "program"),
+    ("realise", "realize"),
+    ("recognise", "recognize"),
+    ("signalling", "signaling"),
+    ("utilisation", "utilization"),
     ("whilst", "while"),
+    ("wilful", "willful"),
     ("per cent", "percent"),
     ("noncommercial", "non commercial"),
 )
@@ -109,15 +147,33 @@ BLOCK_END = r"\n[ \t\r]*\n"
 NO_LETTER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, words apart by one blank, one spelling."""
+def words_apart(text: Column) -> Column:
+    """Lower case, no copyright lines, each word between two blanks."""
     plain = F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, " ")
-    plain = F.concat(F.lit(" "), F.btrim(F.regexp_replace(plain, NO_LETTER, " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(plain, NO_LETTER, " ")), F.lit(" "))
+
+
+def one_spelling(plain: Column) -> Column:
     for one, other in SPELLINGS:
         plain = F.replace(plain, F.lit(f" {one} "), F.lit(f" {other} "))
     return F.btrim(plain)
 
 
+def canonical(text: Column) -> Column:
+    """Lower case, no copyright lines, words apart by one blank, one spelling."""
+    return one_spelling(words_apart(text))
+
+
+def first_words(licenses: Sequence[License]) -> list[str]:
+    """Every word, in any spelling, that a text equal to a known one can begin with."""
+    known = (re.sub(COPYRIGHT_LINE, " ", k.text.translate(str.maketrans(UPPER, LOWER))) for k in licenses)
+    found = {re.sub(NO_LETTER, " ", text).strip(" ").partition(" ")[0] for text in known} - {""}
+    pairs = [{one.split()[0], other.split()[0]} for one, other in SPELLINGS]
+    while more := set().union(*(pair for pair in pairs if pair & found)) - found:
+        found |= more
+    return sorted(found)
+
+
 def known_digests(spark: SparkSession, licenses: Sequence[License] = KNOWN) -> DataFrame:
     """digest and license_id of every known text; the first id of equal texts."""
     rows = spark.createDataFrame([(i, k.license_id, k.text) for i, k in enumerate(licenses)], "i int, license_id string, text string")
@@ -128,25 +184,31 @@ def known_digests(spark: SparkSession, licenses: Sequence[License] = KNOWN) -> D
     )
 
 
-def units_of(body: Column) -> Column:
+def units_of(body: Column, first: Sequence[str]) -> Column:
     """An array of (kind, position, digest): the text, its blocks, its lines.
 
     Blocks and lines are units of their own only if there is more than one.
+    Units that begin with none of the ``first`` words are left out: the many
+    spellings are looked for in the others alone.
     """
 
     def digested(parts: Column, kind: str) -> Column:
-        cells = F.transform(
-            parts,
-            lambda part, i: F.struct(
-                F.lit(kind).alias("kind"), i.alias("position"), F.sha2(canonical(part).cast("binary"), 256).alias("digest")
+        plain = F.transform(parts, lambda part, i: F.struct(i.alias("position"), words_apart(part).alias("plain")))
+        near = F.filter(plain, lambda x: F.substring_index(F.substring(x["plain"], 2, 1 << 30), " ", 1).isin(*first))
+        return F.transform(
+            near,
+            lambda x: F.struct(
+                F.lit(kind).alias("kind"),
+                x["position"].alias("position"),
+                F.sha2(one_spelling(x["plain"]).cast("binary"), 256).alias("digest"),
             ),
         )
-        return F.when(F.size(parts) > 1, cells).otherwise(F.slice(cells, 1, 0))
 
-    whole = F.struct(
-        F.lit("text").alias("kind"), F.lit(0).alias("position"), F.sha2(canonical(body).cast("binary"), 256).alias("digest")
-    )
-    return F.concat(F.array(whole), digested(F.split(body, BLOCK_END), "block"), digested(F.split(body, "\n"), "line"))
+    def several(parts: Column) -> Column:
+        return F.when(F.size(parts) > 1, parts).otherwise(F.slice(parts, 1, 0))
+
+    blocks, lines = several(F.split(body, BLOCK_END)), several(F.split(body, "\n"))
+    return F.concat(digested(F.array(body), "text"), digested(blocks, "block"), digested(lines, "line"))
 
 
 def scan_licenses(
@@ -162,7 +224,7 @@ def scan_licenses(
     ``BROADCAST_LICENSES`` of them the join is left to Spark.
     """
     known = known_digests(docs.sparkSession, licenses).filter(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256))
-    units = docs.select(docs[doc_id].alias("doc_id"), F.explode(units_of(F.coalesce(docs[text], F.lit("")))).alias("unit"))
+    units = docs.select(docs[doc_id].alias("doc_id"), F.explode(units_of(F.coalesce(docs[text], F.lit("")), first_words(licenses))).alias("unit"))
     flat = units.select(
         "doc_id",
         F.col("unit.kind").alias("unit"),
