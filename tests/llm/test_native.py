@@ -184,6 +184,27 @@ def test_cutoffs_keep_their_promise(spark):
     assert quality.choose_cutoffs(signals, labels.limit(0), "s").count() == 0
 
 
+def test_strata_without_cutoffs_use_the_pool(spark, monkeypatch):
+    # en has enough labels; de and null too few, xx is past the cap, yy unlabelled; fr's own labels speak against the pool.
+    lang = "case when id < 20000 then 'en' when id < 20030 then 'de' when id < 20050 then 'fr' when id < 20060 then null when id < 20065 then 'xx' else 'yy' end"
+    signals = spark.range(20_100).selectExpr(
+        "id as doc_id", f"{lang} as s", "100L as n_words", "500L as word_chars",
+        f"cast(case when {lang} = 'fr' and id % 2 = 0 then 90 when id in (20000, 20064, 20070) then 90 else 0 end as bigint) as n_symbols",
+        "10L as n_lines", "0L as n_dup_lines", "0L as n_repeat_words",
+    )
+    labels = spark.range(20_065).selectExpr("id as doc_id", "1 as quality").filter("id not in (20000, 20064)")
+    monkeypatch.setattr(quality, "MAX_STRATA", 4)
+    cutoffs = quality.choose_cutoffs(signals, labels, "s")
+    rows = {(r["pooled"], r["stratum"]): r for r in cutoffs.collect()}
+    assert set(rows) == {(False, "en"), (False, "de"), (False, "fr"), (False, None), (True, None)}
+    assert rows[True, None]["n_good"] == 20_063 and rows[True, None]["cutoff_symbols"] == 0.05
+    assert rows[False, "de"]["cutoff_symbols"] == rows[False, None]["cutoff_symbols"] == 0.05
+    assert rows[False, "fr"]["cutoff_symbols"] is None
+    judged = {r["doc_id"]: r["kept"] for r in quality.with_verdict(signals, cutoffs, "s").collect()}
+    assert len(judged) == 20_100
+    assert {i for i, kept in judged.items() if not kept} == {20000, 20064, 20070}
+
+
 def test_judging_odd_documents(spark):
     docs = fixtures.documents(spark)
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (99, None, None)], "doc_id long, quality int, toxic int")

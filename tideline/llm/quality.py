@@ -45,7 +45,7 @@ SIGNALS = (
 #: also show, such as a repeated passage, get the smaller parts.
 RISK, DELTA = 0.01, 0.05
 #: Strata beyond this many, the smallest ones, use the pooled cutoffs, so that
-#: the table of cutoffs has a bound.
+#: the table of cutoffs has a bound.  So do strata with too few labels.
 MAX_STRATA = 256
 #: Labelled ids up to which the rows they name are found by a broadcast join.
 BROADCAST_LABELS = 1_000_000
@@ -139,49 +139,85 @@ def choose_cutoffs(
     delta: float = DELTA,
     rules: Sequence[Signal] = SIGNALS,
 ) -> DataFrame:
-    """One row per stratum: (stratum, n_good, and a cutoff or null per signal).
+    """One row per stratum: (stratum, pooled, n_good, and a cutoff or null per
+    signal); the last one, with ``pooled`` true, is over all labelled strata.
 
     ``labels`` has doc_id and quality.  Good are the documents whose labels all
     say 1 and that pass the base rules.  Each signal may reject its part of
     ``risk`` of a stratum's good documents; a cutoff is used only if that many
     rejections or fewer would have a probability of at most ``delta`` / number
-    of tests, were its true share larger.  A stratum with too few labels gets
-    nulls, which reject nothing.
+    of tests, were its true share larger.  The pool is tested as one more
+    stratum.  A stratum with too few labels for any cutoff of a signal gets the
+    pooled one, unless that rejects more than the part (rounded up) of its own
+    good documents.  A null rejects nothing.
     """
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = signals.filter(~base_failed()).join(good.filter("quality = 1"), "doc_id")
     tried = [(s, c) for s in rules for c in s.grid]
-    counted = rows.groupBy(F.col(stratum).alias("stratum")).agg(
-        F.count("*").alias("n"),
-        *[F.count_if(value_of(s) > c).alias(f"k{i}") for i, (s, c) in enumerate(tried)],
+    counts = [f"k{i}" for i in range(len(tried))]
+    counted = stored(
+        rows.groupBy(F.col(stratum).alias("stratum")).agg(
+            F.count("*").alias("n"), *[F.count_if(value_of(s) > c).alias(k) for k, (s, c) in zip(counts, tried, strict=True)]
+        )
     )
-    counted = stored(counted.orderBy(F.desc("n"), "stratum").limit(MAX_STRATA))
-    budget = F.log(F.lit(delta) / (F.lit(len(tried)) * F.greatest(F.lit(counted.count()), F.lit(1))))
-    allowed = []
-    for i, (rule, cutoff) in enumerate(tried):
-        k, share = F.col(f"k{i}"), risk * rule.part
-        holds = (k <= F.col("n") * share) & (binomial_below(k, F.col("n"), share) <= budget)
-        allowed.append(F.when(holds, cutoff))
-    best = [
-        F.array_min(F.array_compact(F.array(*[a for a, (s, _) in zip(allowed, tried, strict=True) if s is rule]))).alias(
-            f"cutoff_{rule.name}"
+    own = stored(counted.orderBy(F.desc("n"), "stratum").limit(MAX_STRATA))
+    budget = math.log(delta / (len(tried) * (own.count() + 1)))
+
+    def lowest(table: DataFrame) -> DataFrame:
+        allowed = []
+        for k, (rule, cutoff) in zip(counts, tried, strict=True):
+            share = risk * rule.part
+            holds = (F.col(k) <= F.col("n") * share) & (binomial_below(F.col(k), F.col("n"), share) <= F.lit(budget))
+            allowed.append(F.when(holds, F.lit(cutoff)))
+        return table.select(
+            "*",
+            *[
+                F.array_min(
+                    F.array_compact(F.array(*[a for a, (s, _) in zip(allowed, tried, strict=True) if s is rule]))
+                ).alias(f"cutoff_{rule.name}")
+                for rule in rules
+            ],
         )
-        for rule in rules
-    ]
-    return counted.select("stratum", F.col("n").alias("n_good"), *best)
+
+    total = counted.agg(*[F.sum(c).alias(c) for c in ("n", *counts)]).filter("n > 0")
+    pool = stored(lowest(total))
+    pooled = pool.first()
+    filled = []
+    for rule in rules:
+        found = F.col(f"cutoff_{rule.name}")
+        cutoff = pooled[f"cutoff_{rule.name}"] if pooled else None
+        if cutoff is not None:
+            share = risk * rule.part
+            few = F.col("n") * math.log1p(-share) > budget
+            rejected = F.col(counts[tried.index((rule, cutoff))])
+            found = F.coalesce(found, F.when(few & (rejected <= F.ceil(F.col("n") * share)), F.lit(cutoff)))
+        filled.append(found.alias(f"cutoff_{rule.name}"))
+    strata = lowest(own).select("stratum", F.lit(False).alias("pooled"), F.col("n").alias("n_good"), *filled)
+    last = pool.select(
+        F.lit(None).cast(own.schema["stratum"].dataType).alias("stratum"),
+        F.lit(True).alias("pooled"),
+        F.col("n").alias("n_good"),
+        *[f"cutoff_{rule.name}" for rule in rules],
+    )
+    return stored(strata.unionByName(last).coalesce(1))
 
 
 def with_verdict(
     signals: DataFrame, cutoffs: DataFrame, stratum: str, rules: Sequence[Signal] = SIGNALS
 ) -> DataFrame:
     """Add base_failed and kept.  There are at most ``MAX_STRATA`` cutoff rows,
-    so that they are safe to broadcast."""
-    joined = signals.join(F.broadcast(cutoffs), F.col(stratum).eqNullSafe(F.col("stratum")), "left")
+    so that they are safe to broadcast, and the pooled one for all other strata."""
+    pooled = cutoffs.filter("pooled").first()
+    own = F.broadcast(cutoffs.filter("not pooled"))
+    joined = signals.join(own, F.col(stratum).eqNullSafe(F.col("stratum")), "left")
     # A sum, so that a filter on it stays above the join: split into its parts,
     # it would be pushed down and have the signals computed once for each.
     faults = base_failed().cast("int")
     for rule in rules:
-        faults = faults + F.coalesce(value_of(rule) > F.col(f"cutoff_{rule.name}"), F.lit(False)).cast("int")
+        name = f"cutoff_{rule.name}"
+        other = F.lit(pooled[name] if pooled else None).cast("double")
+        cutoff = F.when(F.col("n_good").isNull(), other).otherwise(F.col(name))
+        faults = faults + F.coalesce(value_of(rule) > cutoff, F.lit(False)).cast("int")
     return (
         joined.withColumn("base_failed", base_failed()).withColumn("kept", faults == 0).drop(*cutoffs.columns)
     )
@@ -193,7 +229,8 @@ def judge_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, delt
 
     Strata are the values of lang, null being one.  Null text counts as empty
     and fails.  Repeated rows are judged alike, an empty table gives none, and
-    without labels only the base rules reject.
+    without labels only the base rules reject.  Strata without cutoffs of their
+    own are judged by the pooled ones.
     """
     own = docs.select(docs["doc_id"], docs["text"], docs["lang"].alias("_stratum"))
     signals = stored(text_signals(own, keep=["_stratum"]))
