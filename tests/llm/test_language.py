@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import random
+import string
 import zlib
 
 import numpy as np
@@ -58,6 +61,23 @@ def test_stage_keeps_columns_and_what_has_a_language(spark):
     assert {5, 6, 7, 13}.isdisjoint({r["doc_id"] for r in odd.collect()})
 
 
+def test_stage_rejects_junk_and_unlearnt_languages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language.learn(language.for_learning(docs))
+    rng = random.Random(1)
+    finnish = "Tämä on suomenkielinen teksti, jossa kerrotaan talosta ja metsästä, ja siitä miten ihmiset asuivat järven rannalla monta vuotta sitten."
+    texts = [
+        base64.b64encode(rng.randbytes(2000)).decode(),
+        rng.randbytes(2000).hex(),
+        " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(300)),
+        finnish,
+    ]
+    assert all(model.predict(text)[1] > 0.5 for text in texts)
+    known = docs.filter("length(text) > 300").first()["text"]
+    rows = fixtures.documents(spark, [fixtures.row(i, text) for i, text in enumerate([*texts, known])])
+    assert [r["doc_id"] for r in language.with_known_language(rows, model).collect()] == [len(texts)]
+
+
 def test_grams_do_not_depend_on_blocks(monkeypatch):
     text = fixtures.prose(1, 400) + " Übermäßig naïve 12,34 日本"
     whole = np.concatenate(list(language.grams(text)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,9 @@ NGRAM, FILTER_NGRAMS, MAX_LANGUAGES = 5, 5_000, 64
 SAMPLE_DOCS = 2_000
 PROBES = 4
 UNKNOWN = "und"
+#: A text is in no language if a smaller share of its n-grams is in the best
+#: filter than this part of a low quantile of labelled documents' own shares.
+SHARE_QUANTILE, SHARE_PART = 0.01, 0.5
 #: Bytes of a text that are handled at once.
 BLOCK = 1 << 22
 
@@ -70,6 +73,7 @@ class Model:
     languages: tuple[str, ...]
     words: np.ndarray
     false_rate: np.ndarray
+    min_share: float = 0.0
 
     @property
     def bits(self) -> int:
@@ -94,16 +98,24 @@ class Model:
                 here += (per_mask @ _BIT_TABLE)[: len(here)]
         return found, total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its score, or ``und`` and 0 without a letter."""
-        if not text or not any(map(str.isalpha, text)) or not self.languages:
-            return UNKNOWN, 0.0
+    def true_counts(self, text: str) -> tuple[np.ndarray, int]:
+        """Counts without what false positives add."""
         found, total = self.counts(text)
-        true = np.clip((found - self.false_rate * total) / (1 - self.false_rate), 0, None)
+        return np.clip((found - self.false_rate * total) / (1 - self.false_rate), 0, None), total
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its score and its share of the n-grams, or ``und``, 0 and 0 without a letter."""
+        if not text or not any(map(str.isalpha, text)) or not self.languages:
+            return UNKNOWN, 0.0, 0.0
+        true, total = self.true_counts(text)
         best = int(true.argmax())
         rest = np.delete(true, best).max(initial=0.0)
         # Evidence against the runner-up, with one n-gram for each as a prior.
-        return self.languages[best], float((true[best] + 1) / (true[best] + rest + 2))
+        return self.languages[best], float((true[best] + 1) / (true[best] + rest + 2)), float(true[best] / max(1, total))
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """The language and its score, or ``und`` and 0 without a letter."""
+        return self.judge(text)[:2]
 
 
 _BIT_TABLE = (np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1
@@ -166,7 +178,28 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, filter_ngrams: int =
     for row in sizes:
         top = counted.filter(F.col("lang") == row["lang"]).orderBy(F.desc("n"), "gram").limit(filter_ngrams)
         ngrams[row["lang"]] = np.array(top.select("gram").toPandas()["gram"], np.int64).astype(np.uint64)
-    return build_filters(ngrams)
+    model = build_filters(ngrams)
+    return replace(model, min_share=least_share(labelled.filter(wanted), model))
+
+
+def least_share(docs: DataFrame, model: Model) -> float:
+    """``SHARE_PART`` of the ``SHARE_QUANTILE`` of the shares of n-grams that
+    are in the filter of the document's own language; 0 without any."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.false_rate))
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        bits = {language: bit for bit, language in enumerate(own.languages)}
+        for batch in batches:
+            found = []
+            for text, lang in zip(*map(values, batch.columns), strict=True):
+                true, total = own.true_counts(text)
+                found += [float(true[bits[lang]] / total)] if total and any(map(str.isalpha, text)) else []
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64())], ["share"])
+
+    measured = docs.select("text", "lang").mapInArrow(shares, "share double")
+    low = measured.agg(F.percentile_approx("share", SHARE_QUANTILE, 10_000).alias("low")).first()["low"]
+    return SHARE_PART * (low or 0.0)
 
 
 def predict_languages(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -196,16 +229,20 @@ def predict_languages(docs: DataFrame, model: Model, keep: list[str] | None = No
 def with_known_language(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in some language.
 
-    Rejected are texts without a letter and those for which no language has
-    more evidence than another (a score of ``min_score`` or less).
+    Rejected are texts without a letter, those for which no language has more
+    evidence than another (a score of ``min_score`` or less) and those of whose
+    n-grams the language knows less than the model's ``min_share``: junk, or a
+    language that was not learnt.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.false_rate))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.false_rate, model.min_share))
 
     @F.pandas_udf("boolean")
     def is_known(texts: pd.Series) -> pd.Series:
         own = Model(*shared.value)
-        found = [own.predict(text) for text in texts]
-        return pd.Series([language != UNKNOWN and score > min_score for language, score in found], dtype=bool)
+        found = [own.judge(text) for text in texts]
+        return pd.Series(
+            [language != UNKNOWN and score > min_score and share >= own.min_share for language, score, share in found], dtype=bool
+        )
 
     return docs.filter(is_known(docs["text"]))
 
