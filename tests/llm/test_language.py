@@ -102,3 +102,16 @@ def test_masks_hold_all_languages_of_a_gram(n_languages):
 def test_too_many_languages_are_refused():
     with pytest.raises(ValueError):
         language.build_filters({str(i): np.zeros(1, np.uint64) for i in range(65)})
+
+
+def test_every_language_takes_part(spark):
+    rng = random.Random(2)
+    words = {f"l{i:03}": ["".join(rng.choices(string.ascii_lowercase, k=7)) for _ in range(12)] for i in range(70)}
+    rows = [(f"{name}-{j}", " ".join(rng.choices(own, k=60)), name) for name, own in words.items() for j in range(2)]
+    rows += [(f"more-{name}", " ".join(rng.choices(words[name], k=60)), name) for name in list(words)[:64]]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = language.learn(docs)
+    assert model.all_languages == tuple(sorted(words))
+    found = language.predict_languages(docs, model, ["doc_id", "lang"])
+    assert found.count() == len(rows) and found.filter("lang_pred <> lang").count() == 0
+    assert language.with_known_language(docs, model).count() == len(rows)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import stored, values
 
-#: Bytes of an n-gram; n-grams a language's filter takes; languages at most.
+#: Bytes of an n-gram; n-grams a language's filter takes; languages of a set of filters at most.
 NGRAM, FILTER_NGRAMS, MAX_LANGUAGES = 5, 5_000, 64
 #: Labelled documents of a language that are learnt from, at most.
 SAMPLE_DOCS = 2_000
@@ -68,12 +68,20 @@ def positions(codes: np.ndarray, bits: int) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """The sliced filters, the languages by bit, and each filter's false positive rate."""
+    """The sliced filters, the languages by bit, and each filter's false positive rate.
+
+    Languages beyond ``MAX_LANGUAGES`` are in further sets of filters, ``more``.
+    """
 
     languages: tuple[str, ...]
     words: np.ndarray
     false_rate: np.ndarray
     min_share: float = 0.0
+    more: tuple[Model, ...] = ()
+
+    @property
+    def all_languages(self) -> tuple[str, ...]:
+        return sum((m.languages for m in self.more), self.languages)
 
     @property
     def bits(self) -> int:
@@ -99,9 +107,10 @@ class Model:
         return found, total
 
     def true_counts(self, text: str) -> tuple[np.ndarray, int]:
-        """Counts without what false positives add."""
+        """Counts of all languages, without what false positives add."""
         found, total = self.counts(text)
-        return np.clip((found - self.false_rate * total) / (1 - self.false_rate), 0, None), total
+        true = np.clip((found - self.false_rate * total) / (1 - self.false_rate), 0, None)
+        return np.concatenate([true, *(m.true_counts(text)[0] for m in self.more)]), total
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
         """The language, its score and its share of the n-grams, or ``und``, 0 and 0 without a letter."""
@@ -111,7 +120,7 @@ class Model:
         best = int(true.argmax())
         rest = np.delete(true, best).max(initial=0.0)
         # Evidence against the runner-up, with one n-gram for each as a prior.
-        return self.languages[best], float((true[best] + 1) / (true[best] + rest + 2)), float(true[best] / max(1, total))
+        return self.all_languages[best], float((true[best] + 1) / (true[best] + rest + 2)), float(true[best] / max(1, total))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its score, or ``und`` and 0 without a letter."""
@@ -136,23 +145,31 @@ def build_filters(ngrams: dict[str, np.ndarray]) -> Model:
     return Model(languages, words, fill**PROBES)
 
 
+def build_all_filters(ngrams: dict[str, np.ndarray]) -> Model:
+    """Filters of any number of languages, in sets of up to ``MAX_LANGUAGES``."""
+    names = sorted(ngrams)
+    sets = [names[at : at + MAX_LANGUAGES] for at in range(0, max(1, len(names)), MAX_LANGUAGES)]
+    first, *more = [build_filters({name: ngrams[name] for name in part}) for part in sets]
+    return replace(first, more=tuple(more))
+
+
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, filter_ngrams: int = FILTER_NGRAMS) -> Model:
     """Filters from labelled documents (doc_id, text, lang).
 
     Of each language about ``sample_docs`` documents are taken, by a hash of
-    their id; whole texts are read.  The languages are the ``MAX_LANGUAGES``
-    with the most documents.  A filter takes the ``filter_ngrams`` n-grams
-    that occur most, so that 64 languages stay at 3 MB on the
-    driver and the filters at 1 MB.
+    their id; whole texts are read.  All labels are languages.  A filter takes
+    the ``filter_ngrams`` n-grams that occur most, so that each 64 languages
+    stay at 3 MB on the driver and their filters at 1 MB.
     """
     labelled = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()
     if not sizes:
         return build_filters({})
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1e6
-    wanted = F.lit(False)
-    for row in sizes:
-        wanted = wanted | ((F.col("lang") == row["lang"]) & (drawn < min(1.0, sample_docs / row["count"])))
+    shares = docs.sparkSession.createDataFrame(
+        [(row["lang"], min(1.0, sample_docs / row["count"])) for row in sizes], "lang string, _share double"
+    )
+    wanted = labelled.join(F.broadcast(shares), "lang").filter(drawn < F.col("_share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,8 +184,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, filter_ngrams: int =
                 )
 
     counted = (
-        labelled.filter(wanted)
-        .select("text", "lang")
+        wanted.select("text", "lang")
         .mapInArrow(count, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
@@ -178,18 +194,18 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, filter_ngrams: int =
     for row in sizes:
         top = counted.filter(F.col("lang") == row["lang"]).orderBy(F.desc("n"), "gram").limit(filter_ngrams)
         ngrams[row["lang"]] = np.array(top.select("gram").toPandas()["gram"], np.int64).astype(np.uint64)
-    model = build_filters(ngrams)
-    return replace(model, min_share=least_share(labelled.filter(wanted), model))
+    model = build_all_filters(ngrams)
+    return replace(model, min_share=least_share(wanted, model))
 
 
 def least_share(docs: DataFrame, model: Model) -> float:
     """``SHARE_PART`` of the ``SHARE_QUANTILE`` of the shares of n-grams that
     are in the filter of the document's own language; 0 without any."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.false_rate))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
-        bits = {language: bit for bit, language in enumerate(own.languages)}
+        own = shared.value
+        bits = {language: bit for bit, language in enumerate(own.all_languages)}
         for batch in batches:
             found = []
             for text, lang in zip(*map(values, batch.columns), strict=True):
@@ -209,10 +225,10 @@ def predict_languages(docs: DataFrame, model: Model, keep: list[str] | None = No
     """
     spark = docs.sparkSession
     keep = keep or ["doc_id"]
-    shared = spark.sparkContext.broadcast((model.languages, model.words, model.false_rate))
+    shared = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
+        own = shared.value
         for batch in batches:
             found = [own.predict(text) for text in values(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
@@ -234,11 +250,11 @@ def with_known_language(docs: DataFrame, model: Model, min_score: float = 0.5) -
     n-grams the language knows less than the model's ``min_share``: junk, or a
     language that was not learnt.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.false_rate, model.min_share))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def is_known(texts: pd.Series) -> pd.Series:
-        own = Model(*shared.value)
+        own = shared.value
         found = [own.judge(text) for text in texts]
         return pd.Series(
             [language != UNKNOWN and score > min_score and share >= own.min_share for language, score, share in found], dtype=bool
