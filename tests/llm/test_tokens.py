@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,6 +74,23 @@ def test_odd_texts(counter, byte_ids, piece_model):
         assert np.frombuffer(byte_ids.ids(text), "<u4").tolist() == expected_ids(byte_ids, text), repr(text)
 
 
+LONG = {"blanks": " ", "line feeds": "\n", "letters": "a", "indented code": "        x = 1\n", "signs": "▁"}
+
+
+@pytest.mark.parametrize(("kind", "size"), [*((kind, 1_000_000) for kind in LONG), ("blanks", 4_000_000)])
+def test_very_long_runs(counter, byte_ids, piece_model, kind, size):
+    text = "start " + LONG[kind] * (size // len(LONG[kind])) + " end"
+    assert byte_ids.ids(text) == byte_ids.encode(text)
+    assert counter.count(text) == len(piece_model.encode(text))
+
+
+def test_texts_with_runs_of_blanks_use_the_cache(piece_model):
+    own = tokens.PieceCounter(MODEL)
+    code = "\n".join("    " * (i % 3) + f"value{i % 5} = other{i % 7}  # note" for i in range(500))
+    assert own.count(code) == len(piece_model.encode(code))
+    assert 0 < len(own.cache) < 60
+
+
 def test_every_settled_character_is_encoded_alike(byte_ids):
     for code in range(1, 0x10000):
         if 0xD800 <= code < 0xE000:
@@ -139,7 +157,7 @@ def assert_packed(rows, docs, byte_ids, capacity, end_id):
 
 def test_packing_odd_documents(spark, byte_ids):
     docs = fixtures.documents(spark)
-    rows = packing.pack_documents(docs, JSON, end_id=2, capacity=64, buckets=4).collect()
+    rows = packing.pack_documents(docs, JSON, end_id=2, capacity=64, bucket_pieces=7).collect()
     n = assert_packed(rows, [(d[0], d[1]) for d in fixtures.rows()], byte_ids, 64, 2)
     assert n <= -(-sum(r["length"] for r in rows) // 64) + 2
     assert packing.pack_documents(fixtures.empty(spark), JSON).count() == 0
@@ -183,6 +201,28 @@ def test_exact_complements_are_found():
     assert all(sum(p.lengths) == 1024 for p in plan)
 
 
+def test_pairs_and_triples_fill_gaps():
+    plan = packing.plan_packing({1000: 2, 20: 1, 4: 1, 10: 1, 8: 1, 6: 1}, 1024)
+    assert sorted(p.lengths for p in plan) == [(1000, 10, 8, 6), (1000, 20, 4)]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_plans_of_real_lengths_are_tight_and_use_pairs_and_triples(byte_ids, sf):
+    lengths = Counter()
+    for text in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist():
+        n = len(byte_ids.ids(text or "")) // 4 + 1
+        lengths[n % 1024 or 1024] += 1
+        lengths[1024] += (n - 1) // 1024
+    plan = packing.plan_packing(lengths, 1024)
+    least = -(-sum(length * n for length, n in lengths.items()) // 1024)
+    assert sum(p.times for p in plan) <= 1.01 * least
+    exact = Counter()
+    for p in plan:
+        if sum(p.lengths) == 1024:
+            exact[len(p.lengths)] += p.times
+    assert exact[3] and exact[4]
+
+
 def test_plan_size_follows_the_capacity_not_the_input():
     small = packing.plan_packing({n: 7 + n % 5 for n in range(1, 1025)}, 1024)
     large = packing.plan_packing({n: 10**9 * (7 + n % 5) for n in range(1, 1025)}, 1024)

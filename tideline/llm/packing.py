@@ -24,6 +24,10 @@ from tideline.llm.common import stored, values
 from tideline.llm.tokens import byte_ids
 
 
+#: Pieces that one task ranks, about; buckets of them, a power of two, at most.
+BUCKET_PIECES, MAX_BUCKETS = 200_000, 1 << 20
+
+
 @dataclass(frozen=True)
 class Pattern:
     """``times`` sequences that hold pieces of these lengths, in this order."""
@@ -39,27 +43,22 @@ class ComplementIndex:
         self.counts = counts
 
     def _pair(self, total: int) -> tuple[int, int] | None:
-        """The pair with the longest piece comes first, as in best-fit packing."""
+        """The most even pair: short pieces are left for gaps that only they fill."""
         if total < 2:
             return None
-        high = np.arange(total - 1, (total - 1) // 2, -1)
-        high = high[high < len(self.counts)]
+        high = np.arange((total + 1) // 2, total)
         low = total - high
         found = (self.counts[high] > 0) & (self.counts[low] > 0) & ((high != low) | (self.counts[high] > 1))
-        at = int(found.argmax()) if found.size else 0
-        return (int(high[at]), int(low[at])) if found.size and found[at] else None
+        at = int(found.argmax())
+        return (int(high[at]), int(low[at])) if found[at] else None
 
-    def find(self, total: int, parts: int) -> tuple[int, ...] | None:
-        """The fewest lengths, at most ``parts``, that sum to ``total``."""
+    def find(self, total: int) -> tuple[int, ...] | None:
+        """One length that is ``total``, else a pair, else a triple with that sum."""
         if self.counts[total] > 0:
             return (total,)
-        if parts < 2:
-            return None
         if pair := self._pair(total):
             return pair
-        if parts < 3:
-            return None
-        for high in np.flatnonzero(self.counts[: total - 1])[::-1].tolist():
+        for high in np.flatnonzero(self.counts[: max(0, total - 1)])[::-1].tolist():
             self.counts[high] -= 1
             pair = self._pair(total - high)
             self.counts[high] += 1
@@ -78,62 +77,43 @@ def _times(lengths: tuple[int, ...], counts: np.ndarray) -> int:
 def plan_packing(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     """Patterns that use up every count.
 
-    From the longest length down, each piece takes the single length, the pair
-    or the triple that exactly fills its sequence, as often as availability
-    allows.  What has no exact complement is packed best-fit, longest first.
-    Combinations fill early sequences to the brim, but where most pieces are
-    long they can leave too few short ones for the rest.  So three plans are
-    made, with complements of up to one, two and three pieces, and the one
-    with the fewest sequences is used.
-    """
-    plans = [_plan(histogram, capacity, parts) for parts in (3, 2, 1)]
-    return min(plans, key=lambda plan: sum(pattern.times for pattern in plan))
+    Each sequence begins with the longest piece left.  If a single length, a
+    pair or a triple exactly fills its gap, that is consumed, as often as
+    availability allows.  If none does, the best-fitting piece (the longest
+    that fits) joins and the smaller gap is looked up again, until it is filled
+    or nothing fits.
 
-
-def _plan(histogram: dict[int, int], capacity: int, parts: int) -> list[Pattern]:
-    """Every step uses up a length or (but for a remainder) a kind of open
-    sequence, so the plan's size follows the capacity, not the input."""
+    Every pattern uses up a length, or all but a remainder of it, so the plan's
+    size follows the capacity, not the input.
+    """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         if not 0 < length <= capacity:
             raise ValueError(f"length {length} does not fit")
         counts[length] = n
-    plan: list[Pattern] = []
-
-    def use(lengths: tuple[int, ...], times: int) -> None:
-        for length in lengths:
-            counts[length] -= times
-        plan.append(Pattern(lengths, times))
-
-    if counts[capacity]:
-        use((capacity,), int(counts[capacity]))
-    index = ComplementIndex(counts)
-    for length in range(capacity - 1, 0, -1):
-        while counts[length]:
-            counts[length] -= 1
-            rest = index.find(capacity - length, parts)
-            counts[length] += 1
-            if rest is None:
-                break
-            use((length, *rest), _times((length, *rest), counts))
-    open_: dict[int, list[Pattern]] = defaultdict(list)
-    for length in range(capacity - 1, 0, -1):
-        left = int(counts[length])
-        while left:
-            gap = next((g for g in range(length, capacity) if open_.get(g)), None)
-            if gap is None:
-                fit = capacity // length
-                for n, times in ((fit, left // fit), (left % fit, 1)):
-                    if n and times:
-                        open_[capacity - n * length].append(Pattern((length,) * n, times))
-                break
-            into = open_[gap].pop()
-            times = min(left, into.times)
-            if into.times > times:
-                open_[gap].append(Pattern(into.lengths, into.times - times))
-            open_[gap - length].append(Pattern((*into.lengths, length), times))
-            left -= times
-    return plan + [pattern for patterns in open_.values() for pattern in patterns]
+    index, plan = ComplementIndex(counts), []
+    for longest in range(capacity, 0, -1):
+        while counts[longest]:
+            lengths, gap = [longest], capacity - longest
+            counts[longest] -= 1
+            while gap:
+                rest = index.find(gap)
+                if rest is None:
+                    fits = np.flatnonzero(counts[: gap + 1])
+                    rest = (int(fits[-1]),) if fits.size else ()
+                if not rest:
+                    break
+                for length in rest:
+                    counts[length] -= 1
+                lengths += rest
+                gap -= sum(rest)
+            for length in lengths:
+                counts[length] += 1
+            times = _times(tuple(lengths), counts)
+            for length in lengths:
+                counts[length] -= times
+            plan.append(Pattern(tuple(lengths), times))
+    return plan
 
 
 def slots_of(plan: list[Pattern]) -> np.ndarray:
@@ -149,8 +129,8 @@ def slots_of(plan: list[Pattern]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, buckets: int) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, bucket."""
+def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, salt."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     end = end_id.to_bytes(4, "little")
 
@@ -177,8 +157,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
             )
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    dealt = F.pmod(F.xxhash64("doc_id", "piece", F.spark_partition_id()), F.lit(buckets)).cast("int")
-    return docs.mapInArrow(cut, schema).withColumn("bucket", dealt)
+    # Drawn by place, not by content, so that repeated rows spread; it is stored with the piece.
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(MAX_BUCKETS)).cast("int")
+    return docs.mapInArrow(cut, schema).withColumn("salt", salt)
 
 
 def pack_documents(
@@ -186,7 +167,7 @@ def pack_documents(
     tokenizer: str,
     end_id: int = 2,
     capacity: int = 1024,
-    buckets: int = 512,
+    bucket_pieces: int = BUCKET_PIECES,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -196,25 +177,38 @@ def pack_documents(
     into pieces of it, the first of which may be shorter.  ``tokenizer`` is the
     path of a byte-level BPE file that every worker can read.
 
-    Null text counts as empty: one piece that holds ``end_id``.  Repeated rows
-    are packed each; an empty table gives none; other columns are ignored.
+    A piece of full length is a sequence of its own, with a negative id.  All
+    others are ranked among the pieces of their length, in buckets whose number
+    follows the number of pieces, and look their place up by rank.
+
+    Null text counts as empty: one piece that holds ``end_id``.  Very long texts
+    are encoded whole.  Repeated rows are packed each; an empty table gives
+    none; other columns are ignored.
     """
     own = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    pieces = stored(tokenized_pieces(own, tokenizer, end_id, capacity, buckets))
+    pieces = stored(tokenized_pieces(own, tokenizer, end_id, capacity))
     # At most ``capacity`` rows come to the driver.
-    counts = stored(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    histogram.pop(capacity, None)
     slots = docs.sparkSession.sparkContext.broadcast(slots_of(plan_packing(histogram, capacity)))
+    buckets = 16
+    while buckets < MAX_BUCKETS and buckets * bucket_pieces < sum(histogram.values()):
+        buckets *= 2
 
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    full = pieces.filter(F.col("length") == capacity).select(
+        *columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
     # Rank among the pieces of a length: within the bucket, plus the buckets before.
+    rest = pieces.filter(F.col("length") < capacity).select(*columns, (F.col("salt") % buckets).alias("bucket"))
+    counts = rest.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
-        pieces.withColumn("rank", F.row_number().over(inside) - 1)
+        rest.withColumn("rank", F.row_number().over(inside) - 1)
         .join(starts, ["bucket", "length"])
-        .withColumn("rank", F.col("first") + F.col("rank"))
-        .select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+        .select(*columns, (F.col("first") + F.col("rank")).alias("rank"))
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +225,7 @@ def pack_documents(
             )
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(
+    placed = ranked.mapInArrow(
         place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
+    return placed.unionByName(full)
