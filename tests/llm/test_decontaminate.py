@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -15,12 +17,12 @@ from tideline.llm import decontaminate, license_scan, queries
 
 RNG = random.Random(11)
 VOCABULARY = [f"w{i}" for i in range(300)]
-ITEMS = [(i, " ".join(RNG.choice(VOCABULARY[: 40 + 26 * (i % 10)]) for _ in range(RNG.choice([3, 6, 12, 30, 60])))) for i in range(90)]
+ITEMS = [(i, " ".join(RNG.choice(VOCABULARY[: 40 + 26 * (i % 10)]) for _ in range(RNG.choice([3, 6, 12, 30, 60]))), None) for i in range(90)]
 
 
 @pytest.fixture(scope="module")
 def index():
-    return decontaminate.Index(ITEMS)
+    return decontaminate.Index(decontaminate.items_of(ITEMS))
 
 
 @settings(max_examples=200, deadline=None)
@@ -46,19 +48,19 @@ _CACHED: list = []
 
 def _index():
     if not _CACHED:
-        _CACHED.append(decontaminate.Index(ITEMS))
+        _CACHED.append(decontaminate.Index(decontaminate.items_of(ITEMS)))
     return _CACHED[0]
 
 
 def test_every_planted_item_is_found(index):
-    for item_id, text in ITEMS:
+    for item_id, text, _ in ITEMS:
         for before, after in ((0, 0), (1, 500), (57, 3), (333, 200)):
             page = fixtures.prose(item_id, before) + " " + text.upper().replace(" ", ",  ") + ". " + fixtures.prose(item_id + 1, after)
-            assert item_id in {hit[0] for hit in index.leaks(page)}, (item_id, before)
+            assert (item_id in {hit[0] for hit in index.leaks(page)}) == (len(text.split()) >= decontaminate.MIN_WORDS), (item_id, before)
 
 
 def test_parts_and_scattered_words_are_not_leaks(index):
-    long = [(i, t) for i, t in ITEMS if len(t.split()) >= 30]
+    long = [(i, t) for i, t, _ in ITEMS if len(t.split()) >= 30]
     for item_id, text in long:
         words = text.split()
         assert item_id not in {h[0] for h in index.leaks(" ".join(words[: len(words) // 2]))}
@@ -67,18 +69,85 @@ def test_parts_and_scattered_words_are_not_leaks(index):
     assert decontaminate.Index([]).leaks("w1 w2") == []
 
 
-def test_odd_documents_and_slices(spark, monkeypatch):
-    items = spark.createDataFrame([*ITEMS, (900, None), (901, ""), (902, "!!"), (903, ITEMS[3][1])], "item_id long, text string")
-    texts = [ITEMS[3][1], "x " + ITEMS[5][1] + " y", None, "", fixtures.prose(2, 3000) + " " + ITEMS[9][1]]
-    rows = [fixtures.row(i, t) for i, t in enumerate(texts)] + [fixtures.row(None, ITEMS[3][1])] + fixtures.rows()
+def test_short_items_are_no_evidence():
+    short = [(1, "yes", None), (2, "the answer", None), (3, "what is the capital of france", None)]
+    index = decontaminate.Index(decontaminate.items_of(short))
+    assert [i.item_id for i in index.items] == [3]
+    assert index.leaks("i said yes and the report gave the answer later") == []
+    assert index.leaks("france has what is called the capital of it") == []
+    assert [hit[0] for hit in index.leaks("so: What is the capital of France?")] == [3]
+
+
+def test_a_boundary_of_ones_own():
+    question = " ".join(f"q{i}" for i in range(30))
+    index = decontaminate.Index(decontaminate.items_of([(1, question, "paris")]))
+    assert [hit[0] for hit in index.leaks(f"{question} it is Paris")] == [1]
+    assert index.leaks(f"{question} it is Rome") == []
+
+
+def brute_leaks(text, items):
+    """{item_id: (passage_start, score, question, answer)} by scoring every passage against every item."""
+    words, out = decontaminate.words_of(text), {}
+    known = decontaminate.Statistics.of(items)
+    mean = known.words / known.items
+    for item in items:
+        counts = Counter(item.words)
+        norm = 1.2 * (0.25 + 0.75 * len(item.words) / mean)
+        weight = {w: math.log(1 + (known.items - known.spread[w] + 0.5) / (known.spread[w] + 0.5)) * n * 2.2 / (n + norm) for w, n in counts.items()}
+        own = math.fsum(weight.values())
+        for start in range(0, max(1, len(words)), known.longest):
+            passage = words[start : start + 2 * known.longest]
+            inside = set(passage)
+            score = math.fsum(weight[w] / own for w in weight if w in inside)
+            if score < decontaminate.THRESHOLD or (item.item_id in out and out[item.item_id][1] >= score):
+                continue
+            runs = {tuple(passage[i : i + n]) for n in range(1, 10) for i in range(len(passage) - n + 1)}
+            parts = [len(part & runs) / len(part) for part in (item.question, item.answer)]
+            if min(parts) >= 0.8:
+                out[item.item_id] = (start, score, *parts)
+    return out
+
+
+def test_slices_change_nothing_to_the_last_digit(spark):
+    rng = random.Random(5)
+    items = [(1000 + i, " ".join(rng.choice(VOCABULARY) for _ in range(rng.choice([5, 8, 15, 40]))), None) for i in range(300)]
+    texts = [f"{fixtures.prose(i, 30)} {items[i][1]} {fixtures.prose(i, 90)} {items[-i][1]}" for i in range(60)]
+    for at in range(0, 60, 2):  # leaks of a part only, near the threshold
+        texts[at] = " ".join(w for w in texts[at].split() if rng.random() > 0.04)
+    docs = fixtures.documents(spark, [fixtures.row(i, t) for i, t in enumerate(texts)])
+    table = spark.createDataFrame([i[:2] for i in items], "item_id long, text string")
+    whole = Counter(map(tuple, decontaminate.find_leaks(docs, table).collect()))
+    assert sum(whole.values()) > 60
+    assert len(list(decontaminate.indexes(table, 12_000))) > 2
+    assert Counter(map(tuple, decontaminate.find_leaks(docs, table, slice_bytes=12_000).collect())) == whole
+    kept = {r["doc_id"] for r in decontaminate.without_leaks(docs, table, slice_bytes=12_000).collect()}
+    assert kept == set(range(60)) - {r[0] for r in whole}
+    expected = Counter((i, n, *hit) for i, t in enumerate(texts) for n, hit in brute_leaks(t, decontaminate.items_of(items)).items())
+    assert whole == expected
+
+
+def test_query_equals_scoring_everything(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    rows = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").collect()
+    items = decontaminate.items_of([(r["item_id"], r["text"], None) for r in rows])
+    expected = Counter((d["doc_id"], n, *hit) for d in docs for n, hit in brute_leaks(d["text"], items).items())
+    assert expected
+    assert Counter(map(tuple, queries.queries()["op3_benchmark_decontamination"](spark, DATA).collect())) == expected
+
+
+def test_odd_documents(spark):
+    table = [i[:2] for i in ITEMS]
+    long = [i for i, t in table if len(t.split()) >= 12][:3]
+    one, two, three = (table[i][1] for i in long)
+    items = spark.createDataFrame([*table, (900, None), (901, ""), (902, "!!"), (903, one)], "item_id long, text string")
+    texts = [one, "x " + two + " y", None, "", fixtures.prose(2, 300_000) + " " + three]
+    rows = [fixtures.row(i, t) for i, t in enumerate(texts)] + [fixtures.row(None, one)] + fixtures.rows()
     docs = fixtures.documents(spark, rows)
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, items).collect()}
-    assert {(0, 3), (0, 903), (1, 5), (4, 9), (None, 3)} <= found
+    assert {(0, long[0]), (0, 903), (1, long[1]), (4, long[2]), (None, long[0])} <= found
     clean = decontaminate.without_leaks(docs, items)
     assert clean.columns == docs.columns
     assert clean.count() == len(rows) - sum(1 for r in rows if any(h in found for h in [(r[0], i) for i in range(904)]) and r[1] in texts)
-    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 2000)
-    assert len(list(decontaminate.indexes(items, 2000))) > 2
     assert decontaminate.find_leaks(fixtures.empty(spark), items).count() == 0
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import values
+from tideline.llm.common import stored, values
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
@@ -31,6 +31,10 @@ K1, B = 1.2, 0.75
 BLOCK, THRESHOLD = 8, 0.6
 #: Words of a shingle, and the share of them that both parts must have.
 WIDTH, OVERLAP = 5, 0.8
+#: An item of fewer words is no evidence.
+MIN_WORDS = 5
+#: What sums of weights may be off by.
+SLACK = 1e-9
 #: Ranges of items, short ones first, for which a passage is bounded as a whole.
 RANGES = 32
 #: Bytes of items that one broadcast index may hold; more take further passes.
@@ -55,16 +59,42 @@ def shingles(words: Sequence[bytes]) -> set[tuple[bytes, ...]]:
 
 @dataclass
 class Item:
-    """A test item: its words, the first half as question, the rest as answer."""
+    """A test item: its words, of which the first ``cut`` are the question and
+    the rest the answer; half of them, where no boundary is known.
+
+    An item of under ``2 * WIDTH`` words without a boundary of its own is its
+    question and its answer at once: it must stand as a whole, in one run.
+    """
 
     item_id: int
     words: list[bytes]
+    cut: int | None = None
     question: set = field(init=False)
     answer: set = field(init=False)
 
     def __post_init__(self) -> None:
-        half = len(self.words) // 2
-        self.question, self.answer = shingles(self.words[:half]), shingles(self.words[half:])
+        if self.cut is None and len(self.words) < 2 * WIDTH:
+            self.question = self.answer = {tuple(self.words)}
+            return
+        cut = len(self.words) // 2 if self.cut is None else self.cut
+        self.question, self.answer = shingles(self.words[:cut]), shingles(self.words[cut:])
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 needs to know of all items: their number and words, the words
+    of the longest, and in how many items a word stands.  Slices of one
+    benchmark share them, so that no result depends on the slicing."""
+
+    items: int
+    words: int
+    longest: int
+    spread: Mapping[bytes, int]
+
+    @classmethod
+    def of(cls, items: Sequence[Item]) -> Statistics:
+        sizes = [len(item.words) for item in items]
+        return cls(len(items), sum(sizes), max(sizes, default=0), Counter(word for item in items for word in set(item.words)))
 
 
 @dataclass
@@ -81,23 +111,36 @@ class Postings:
         self.peak = max(self.peaks)
 
 
+def items_of(rows: Sequence[tuple[int, str, str | None]]) -> list[Item]:
+    """(item_id, text, answer or null) as items; those of under ``MIN_WORDS``
+    words are no evidence and are left out."""
+    found = []
+    for item_id, text, answer in rows:
+        words, rest = words_of(text), words_of(answer)
+        if len(words) + len(rest) >= MIN_WORDS:
+            found.append(Item(item_id, words + rest, len(words) if rest and words else None))
+    return found
+
+
 class Index:
-    """BM25 inverted index with block maxima, over items with a word or more."""
+    """BM25 inverted index with block maxima, over items of ``MIN_WORDS`` or more.
+
+    ``items`` may be a slice of those that ``statistics`` are about.
+    """
 
-    def __init__(self, items: Sequence[tuple[int, str]]):
+    def __init__(self, items: Sequence[Item], statistics: Statistics | None = None):
         # By length, as weights follow it: the items of a block get similar maxima.
-        self.items = sorted([item for i, text in items if (item := Item(i, words_of(text))).words], key=lambda i: len(i.words))
-        counts = [Counter(item.words) for item in self.items]
-        spread = Counter(word for c in counts for word in c)
-        mean = sum(len(i.words) for i in self.items) / max(1, len(self.items))
+        self.items = sorted(items, key=lambda i: len(i.words))
+        known = statistics or Statistics.of(self.items)
+        mean = known.words / max(1, known.items)
         found: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
-        for number, (item, c) in enumerate(zip(self.items, counts, strict=True)):
+        for number, item in enumerate(self.items):
             norm = K1 * (1 - B + B * len(item.words) / mean)
-            weights = {
-                word: math.log(1 + (len(self.items) - spread[word] + 0.5) / (spread[word] + 0.5)) * n * (K1 + 1) / (n + norm)
-                for word, n in c.items()
-            }
-            own = sum(weights.values())
+            weights = {}
+            for word, n in Counter(item.words).items():
+                spread = known.spread[word]
+                weights[word] = math.log(1 + (known.items - spread + 0.5) / (spread + 0.5)) * n * (K1 + 1) / (n + norm)
+            own = math.fsum(weights.values())
             for word, weight in weights.items():
                 found[word].append((number, weight / own))
         self.vocabulary = {word: i for i, word in enumerate(found)}
@@ -109,7 +152,7 @@ class Index:
         for term, p in enumerate(self.postings):
             np.maximum.at(self.range_peaks[term], np.array(p.items) // self.range, np.array(p.impacts, np.float32))
         #: A passage is twice as long as the longest item and starts at each half.
-        self.stride = max((len(i.words) for i in self.items), default=1)
+        self.stride = max(1, known.longest)
 
     def retrieve(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All (item number, score) with a score of ``threshold`` or more."""
@@ -123,7 +166,8 @@ class Index:
     def wand(self, terms: Sequence[int], threshold: float, first: int, end_item: int) -> list[tuple[int, float]]:
         """Block-max WAND over the items from ``first`` to before ``end_item``."""
         cursors = [[0, 0, p] for p in map(self.postings.__getitem__, terms)]
-        found = []
+        # Bounds are sums in some order; a score is summed exactly, whatever the order.
+        found, need = [], threshold - SLACK
 
         def advance(cursor: list, to: int) -> None:
             items = cursor[2].items
@@ -139,7 +183,7 @@ class Index:
             bound, pivot = 0.0, -1
             for i, c in enumerate(cursors):
                 bound += c[2].peak
-                if bound >= threshold:
+                if bound >= need:
                     pivot = i
                     break
             if pivot < 0:
@@ -156,9 +200,9 @@ class Index:
                     bound += c[2].peaks[block]
                     last = items[min(len(items), (block + 1) * BLOCK) - 1]
                     end = last if end is None else min(end, last)
-            if bound >= threshold:
+            if bound >= need:
                 if cursors[0][0] == item:
-                    score = sum(c[2].impacts[c[1]] for c in cursors[: pivot + 1])
+                    score = math.fsum(c[2].impacts[c[1]] for c in cursors[: pivot + 1])
                     if score >= threshold:
                         found.append((item, score))
                     to = item + 1
@@ -187,15 +231,14 @@ class Index:
         starts = np.arange(0, max(1, len(words)), self.stride)
         ends = np.minimum(starts + 2 * self.stride, len(words))
         best: dict[int, tuple] = {}
-        for start in starts[before[ends] - before[starts] >= threshold].tolist():
+        for start in starts[before[ends] - before[starts] >= threshold - SLACK].tolist():
             terms = np.unique(ids[start : start + 2 * self.stride])
             terms = terms[terms >= 0]
-            if self.peaks[terms].sum() < threshold:
+            if self.peaks[terms].sum() < threshold - SLACK:
                 continue
-            passage = None
             for number, score in self.retrieve(terms, threshold):
                 item = self.items[number]
-                passage = passage or shingles_of_all(words[start : start + 2 * self.stride], item)
+                passage = shingles_of_all(words[start : start + 2 * self.stride], item)
                 question, answer = (overlap(part, passage) for part in (item.question, item.answer))
                 if min(question, answer) >= OVERLAP and (number not in best or best[number][2] < score):
                     best[number] = (item.item_id, start, score, question, answer)
@@ -203,13 +246,9 @@ class Index:
 
 
 def shingles_of_all(words: Sequence[bytes], item: Item) -> set[tuple[bytes, ...]]:
-    """The passage's shingles, of ``WIDTH`` words and of any shorter part's length."""
-    found = {tuple(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)}
-    for part in (item.question, item.answer):
-        for one in part:
-            if (n := len(one)) < WIDTH:
-                found |= {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
-    return found
+    """The passage's shingles, of ``WIDTH`` words and of the lengths of parts that are one shingle."""
+    lengths = {WIDTH} | {len(one) for part in (item.question, item.answer) if len(part) == 1 for one in part}
+    return {tuple(words[i : i + n]) for n in lengths for i in range(len(words) - n + 1)}
 
 
 def overlap(part: set, passage: set) -> float:
@@ -217,38 +256,75 @@ def overlap(part: set, passage: set) -> float:
     return len(part & passage) / len(part) if part else 1.0
 
 
-def indexes(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> Iterator[Index]:
+def _words(rows: DataFrame) -> DataFrame:
+    """(n_words, words): the number of words of each item, and the distinct ones."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = items_of(list(zip(*[values(batch.column(c)) for c in ("item_id", "text", "answer")], strict=True)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(i.words) for i in items], pa.int64()), pa.array([sorted(set(i.words)) for i in items], pa.list_(pa.binary()))],
+                ["n_words", "words"],
+            )
+
+    return rows.mapInArrow(split, "n_words long, words array<binary>")
+
+
+def indexes(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES, answer: str | None = None) -> Iterator[Index]:
     """Indexes over all items, each small enough to broadcast.
 
     The items' size is summed first.  Up to ``slice_bytes`` there is one index;
     beyond, items are dealt by a hash to as many slices as are needed, and the
-    documents are passed over once for each.
+    documents are passed over once for each.  All slices share the statistics
+    of the whole benchmark.
     """
-    own = benchmark.select("item_id", "text").filter("text is not null")
-    total = own.agg(F.sum(F.octet_length("text") + 16).cast("long").alias("n")).first()["n"] or 0
+    answers = benchmark[answer] if answer else F.lit(None)
+    own = benchmark.select("item_id", "text", answers.cast("string").alias("answer")).filter("text is not null")
+    size = F.octet_length("text") + F.coalesce(F.octet_length("answer"), F.lit(0)) + 16
+    total = own.agg(F.sum(size).cast("long").alias("n")).first()["n"] or 0
     slices = max(1, -(-total // slice_bytes))
+
+    def items(part: DataFrame) -> list[Item]:
+        return items_of([tuple(r) for r in part.orderBy("item_id", "text", "answer").toLocalIterator()])
+
+    if slices == 1:
+        yield Index(items(own))
+        return
+    counted = stored(_words(own))
+    sums = counted.agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.max("n_words").alias("longest")).first()
+    spread = stored(counted.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     for i in range(slices):
-        part = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i) if slices > 1 else own
-        yield Index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").toLocalIterator()])
+        part = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i)
+        # The words of a slice are no larger than the slice.
+        words = _words(part).select(F.explode("words").alias("word")).distinct().join(spread, "word")
+        known = {bytes(r["word"]): r["n"] for r in words.toLocalIterator()}
+        yield Index(items(part), Statistics(sums["n"], sums["words"] or 0, sums["longest"] or 0, known))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, answer: str | None = None, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """doc_id, item_id, passage_start, score, question_overlap, answer_overlap.
 
     One row for each document and item of which at least ``OVERLAP`` of the
     question's and of the answer's 5-word shingles stand in one passage.  Words
     are compared without case and punctuation.  All passages of all documents
-    are queries; nothing is shuffled.
-
-    Null or empty texts and items match nothing.  Repeated rows give repeated
-    results, an empty table gives none, other columns are ignored.
+    are queries; nothing is shuffled.  ``answer`` names a column of the
+    benchmark that holds the answers, ``text`` being the questions; without it
+    an item's halves stand for the two.
+
+    An item of under ``MIN_WORDS`` words says too little to be a leak and
+    matches nothing; one of under twice ``WIDTH`` must stand in one run.  Null or
+    empty texts and items match nothing; very long texts are searched whole.
+    Of equal scores the first passage counts.  Repeated rows and repeated items
+    give repeated results, an empty table gives none, other columns are ignored.
     """
     spark = docs.sparkSession
     own = docs.select(docs["doc_id"], docs["text"])
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, passage_start long, score double, question_overlap double, answer_overlap double"
     found = None
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, slice_bytes, answer):
         shared = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -276,10 +352,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return found
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no test item."""
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, answer: str | None = None, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no test item.
+
+    A null or empty text holds none and stays, whatever its other columns.
+    Repeated rows stay or go together; an empty table stays empty, and without
+    items all rows stay.
+    """
     kept = docs
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, slice_bytes, answer):
         kept = kept.filter(_clean(docs.sparkSession.sparkContext.broadcast(index), threshold)(docs["text"]))
     return kept
 
