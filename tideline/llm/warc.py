@@ -25,7 +25,6 @@ from tideline.llm.common import join_to_groups, scratch_dir, stored, values
 #: Compressed bytes after which a task starts another archive.
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 20
-MAX_HEADER = 1 << 20
 #: Groups of equal payloads up to which their table is broadcast (about 60 bytes each).
 BROADCAST_GROUPS = 400_000
 #: Fixed value of the WARC 1.1 standard.
@@ -70,40 +69,43 @@ def parse_headers(block: bytes) -> tuple[str, dict[str, str]]:
 
 
 class RecordParser:
-    """Takes the bytes of one member bit by bit and checks its framing."""
+    """Takes the bytes of one member bit by bit and checks its framing.
+
+    Of a record only its headers are held, which are as long as its url."""
 
     def __init__(self) -> None:
-        self.buffer, self.headers, self.left = b"", None, 0
+        self.buffer, self.headers, self.left = bytearray(), None, 0
         self.http: dict[str, str] | None = None
         self.block, self.payload, self.payload_bytes = hashlib.sha1(), hashlib.sha1(), 0
 
+    def _head(self, data: bytes) -> tuple[bytes, bytes] | None:
+        """What stands before the first blank line and after it, once it has come."""
+        seen = max(0, len(self.buffer) - 3)
+        self.buffer += data
+        end = self.buffer.find(b"\r\n\r\n", seen)
+        if end < 0:
+            return None
+        head, rest = bytes(self.buffer[:end]), bytes(self.buffer[end + 4 :])
+        self.buffer = bytearray()
+        return head, rest
+
     def feed(self, data: bytes) -> None:
         if self.headers is None:
-            self.buffer += data
-            end = self.buffer.find(b"\r\n\r\n")
-            if end < 0:
-                if len(self.buffer) > MAX_HEADER:
-                    raise ValueError("headers without an end")
+            found = self._head(data)
+            if found is None:
                 return
-            version, self.headers = parse_headers(self.buffer[:end])
+            version, self.headers = parse_headers(found[0])
             if not version.startswith("WARC/"):
                 raise ValueError(f"not a WARC record: {version[:40]!r}")
-            self.left = int(self.headers["content-length"])
-            data, self.buffer = self.buffer[end + 4 :], b""
+            self.left, data = int(self.headers["content-length"]), found[1]
         inside, after = data[: self.left], data[self.left :]
         self.left -= len(inside)
         self.block.update(inside)
-        if self.http is None:
-            self.buffer += inside
-            end = self.buffer.find(b"\r\n\r\n")
-            if end >= 0:
-                self.http = parse_headers(self.buffer[:end])[1]
-                inside, self.buffer = self.buffer[end + 4 :], b""
-                self._body(inside)
-            elif len(self.buffer) > MAX_HEADER:
-                raise ValueError("HTTP headers without an end")
-        else:
+        if self.http is not None:
             self._body(inside)
+        elif found := self._head(inside):
+            self.http = parse_headers(found[0])[1]
+            self._body(found[1])
         if after:
             self.buffer += after
 
@@ -227,7 +229,12 @@ def write_warc(
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
-    """Read archives (column path) back: a row per record, digests verified."""
+    """Read archives (column path) back: a row per record, digests verified.
+
+    Urls and payloads of any length are read; a record whose framing or digest
+    is wrong fails the job.  A null path is skipped, a path that is named twice
+    is read twice, an empty manifest gives no rows, other columns are ignored.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in RECORDS.split(", ")]
@@ -238,7 +245,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path in filter(None, batch.column(0).to_pylist()):
                 store, name = fs.FileSystem.from_uri(path)
                 rows = []
                 with store.open_input_stream(name, compression=None) as stream:
