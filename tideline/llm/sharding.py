@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 from tideline.llm.common import stored
 
 
+def uniform(bits: Column) -> Column:
+    """A number between 0 and 1, neither included, from 52 bits."""
+    return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-52)
+
+
 def draw(keys: Sequence[Column], shard: int, weight: float = 1.0) -> Column:
     """The draw of one shard, as (score, shard); the greater struct wins."""
-    bits = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(shard)), 11)
-    uniform = (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
-    return F.struct((F.lit(-float(weight)) / F.log(uniform)).alias("score"), F.lit(shard).alias("shard"))
+    bits = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(shard)), 12)
+    return F.struct((F.lit(-float(weight)) / F.log(uniform(bits))).alias("score"), F.lit(shard).alias("shard"))
 
 
 def rendezvous(keys: Sequence[Column], weights: Sequence[float]) -> Column:
