@@ -17,10 +17,10 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import stored, values
+from tideline.llm.common import values
 
 #: Bytes of an n-gram; n-grams a language's filter takes; languages of a set of filters at most.
 NGRAM, FILTER_NGRAMS, MAX_LANGUAGES = 5, 5_000, 64
@@ -189,11 +189,12 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, filter_ngrams: int =
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    counted = stored(counted)
-    ngrams = {}
-    for row in sizes:
-        top = counted.filter(F.col("lang") == row["lang"]).orderBy(F.desc("n"), "gram").limit(filter_ngrams)
-        ngrams[row["lang"]] = np.array(top.select("gram").toPandas()["gram"], np.int64).astype(np.uint64)
+    most = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    top = counted.withColumn("rank", F.row_number().over(most)).filter(F.col("rank") <= filter_ngrams)
+    ngrams: dict[str, list[int]] = {row["lang"]: [] for row in sizes}
+    for row in top.select("lang", "gram").toLocalIterator():
+        ngrams[row["lang"]].append(row["gram"])
+    ngrams = {lang: np.array(codes, np.int64).astype(np.uint64) for lang, codes in ngrams.items()}
     model = build_all_filters(ngrams)
     return replace(model, min_share=least_share(wanted, model))
 
@@ -249,6 +250,10 @@ def with_known_language(docs: DataFrame, model: Model, min_score: float = 0.5) -
     evidence than another (a score of ``min_score`` or less) and those of whose
     n-grams the language knows less than the model's ``min_share``: junk, or a
     language that was not learnt.
+
+    Null and empty texts are rejected, very long ones are judged whole.
+    Repeated rows stay or go together, an empty table stays empty, and a model
+    that learnt nothing rejects all rows.  Only ``text`` is looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -276,7 +281,8 @@ def identify_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataF
     """doc_id, held_out, lang_pred and score for every row of ``docs``.
 
     Learns from documents that are not held out; a null doc_id is neither held
-    out nor learnt from.  Repeated rows get equal answers, an empty table none.
+    out nor learnt from.  Very long texts are learnt from and judged whole, in
+    blocks.  Repeated rows get equal answers, an empty table none.
     """
     own = docs.select(docs["doc_id"], docs["text"], docs["lang"])
     model = learn(for_learning(own), sample_docs)
