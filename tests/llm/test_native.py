@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import fixtures
@@ -64,6 +67,31 @@ def test_shares_follow_weights(spark):
         sharding.rendezvous([F.lit(1)], [1.0, 0.0])
 
 
+def test_no_draw_is_zero_or_one(spark):
+    bits = spark.createDataFrame([(0,), (2**52 - 1,)], "bits long").select(sharding.uniform(F.col("bits")).alias("u"))
+    assert all(0 < r["u"] < 1 and math.log(r["u"]) < 0 for r in bits.collect())
+
+
+def plain_draw(doc_id, shard):
+    key = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=42)
+    bits = xxhash.xxh64_intdigest(struct.pack("<i", shard), seed=key) >> 12
+    return -1.0 / math.log((bits + 0.5) * 2.0**-52), shard
+
+
+def test_sharding_query_equals_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = queries.queries()["op6_rendezvous_sharding"](spark, DATA).collect()
+    slots = defaultdict(set)
+    for r in rows:
+        text = (docs[r["doc_id"]] or "").encode()
+        draws = [plain_draw(r["doc_id"], shard) for shard in range(25)]
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(text) + 8, zlib.crc32(text), "key")
+        assert (r["shard"], r["grown_shard"]) == (max(draws[:24])[1], max(draws)[1])
+        slots[r["shard"]].add(r["slot"])
+    assert len(rows) == len(docs) == sum(map(len, slots.values()))
+    assert all(found == set(range(len(found))) for found in slots.values())
+
+
 # --- urls
 
 
@@ -166,6 +194,81 @@ def test_binomial_bound_is_exact(spark, k, n, p):
     assert math.isclose(got, top + math.log(sum(math.exp(x - top) for x in logs)), rel_tol=1e-6, abs_tol=1e-9)
 
 
+@pytest.mark.parametrize(("k", "n", "p", "terms"), [(100, 10**6, 0.005, 30), (4800, 10**6, 0.005, 400), (20, 5000, 0.005, 19), (3_900_000, 10**9, 0.004, 10_000)])
+def test_long_sums_are_bounded_from_above(spark, k, n, p, terms):
+    row = spark.range(1).select(quality.binomial_below(F.lit(k).cast("long"), F.lit(n).cast("long"), p, terms).alias("x")).first()
+    logs = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in range(max(0, k - 50_000), k + 1)]
+    top = max(logs)
+    exact = top + math.log(sum(math.exp(x - top) for x in logs))
+    assert exact - 1e-4 <= row["x"] <= exact + 0.01
+
+
+def plain_cutoffs(rows, rules, risk, delta):
+    """(stratum or None for the pool, signal) -> cutoff, from (stratum, values by signal) of good documents."""
+
+    def below(k, n, p):
+        return sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+
+    strata = {s for s, _ in rows}
+    tests, found, rejected = len(rules) * (len(strata) + 1), {}, {}
+    for stratum in [*strata, "pool"]:
+        own = [v for s, v in rows if stratum in (s, "pool")]
+        for rule in rules:
+            found[stratum, rule.name] = None
+            for cutoff in sorted(rule.grid, reverse=True):
+                k = rejected[stratum, rule.name, cutoff] = sum(v[rule.name] > cutoff for v in own)
+                if k > len(own) * risk * rule.part or below(k, len(own), risk * rule.part) > delta / tests:
+                    break
+                found[stratum, rule.name] = cutoff
+    for stratum in strata:
+        n = sum(s == stratum for s, _ in rows)
+        for rule in rules:
+            pooled, share = found["pool", rule.name], risk * rule.part
+            few = (1 - share) ** n > delta / tests
+            if found[stratum, rule.name] is None and pooled is not None and few:
+                k = sum(v[rule.name] > pooled for s, v in rows if s == stratum)
+                if k <= math.ceil(n * share):
+                    found[stratum, rule.name] = pooled
+    return found
+
+
+def test_active_cutoffs_equal_plain_python(spark):
+    """From texts to verdicts, with cutoffs of strata, pooled ones and ones that fail."""
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(1500):
+        lang = "en" if i < 1000 else "de" if i < 1040 else "fr" if i < 1400 else None
+        words = [rng.choice(fixtures.WORDS) + str(rng.randrange(10**6)) for _ in range(60)]
+        if i % 37 == 0:
+            words[: i % 61] = ["##"] * (i % 61)
+        if lang == "fr" and i % 4 == 0:
+            words = [w * 4 for w in words]
+        docs.append((i, " ".join(words), lang))
+        if i % 5:
+            labels.append((i, int(i % 37 != 0), 0))
+    risk, delta = 0.1, 0.05
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    values, failed = {}, {}
+    for i, text, _ in docs:
+        n, chars, symbols, dup, repeated = plain_signals(text)
+        lines = len([line for line in text.split("\n") if WORD.search(line)])
+        values[i] = {"symbols": symbols / n, "dup_lines": dup / lines, "repeats": repeated / n, "long_words": chars / n}
+        failed[i] = n < 50 or 100 * repeated > 50 * n
+    good = {i for i, quality_, _ in labels if quality_ == 1}
+    rows = [(lang or "none", values[i]) for i, _, lang in docs if i in good and not failed[i]]
+    cutoffs = plain_cutoffs(rows, quality.SIGNALS, risk, delta)
+    assert cutoffs["en", "symbols"] == 0.05 and cutoffs["fr", "long_words"] != cutoffs["en", "long_words"]
+    expected = {}
+    for i, _, lang in docs:
+        over = any(c is not None and values[i][r.name] > c for r in quality.SIGNALS for c in [cutoffs[lang or "none", r.name]])
+        expected[i] = not failed[i] and not over
+    judged = {r["doc_id"]: r["kept"] for r in quality.judge_documents(table, marks, risk, delta).collect()}
+    assert judged == expected
+    assert sum(not kept and not failed[i] for i, kept in judged.items()) > 10
+    assert {r["doc_id"] for r in quality.kept_documents(table, marks, risk, delta).collect()} == {i for i, kept in judged.items() if kept}
+
+
 def test_cutoffs_keep_their_promise(spark):
     n = 12_000
     assert sum(rule.part for rule in quality.SIGNALS) == 1.0

@@ -39,6 +39,16 @@ def test_round_trip(spark, tmp_path):
     assert sum(r["records"] for r in manifest.collect()) == len(PAGES)
 
 
+def test_very_long_urls_and_repeated_paths(spark, tmp_path):
+    links = ["http://a/" + "é" * 400_000, "http://b/" + "x" * 5_000_000]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(links)], "page_id long, url string, html string")
+    manifest = warc.write_warc(pages, f"file://{tmp_path}/w")
+    found = warc.read_warc(manifest).collect()
+    assert sorted(len(r["url"]) for r in found) == [9 + 6 * 400_000, 9 + 5_000_000]
+    again = manifest.unionByName(manifest).unionByName(manifest.limit(1).selectExpr("cast(null as string) path", "records", "bytes"))
+    assert warc.read_warc(again).count() == 4
+
+
 def test_small_payloads_can_all_be_responses(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     rows = warc.read_warc(warc.write_warc(pages, f"file://{tmp_path}/w", min_bytes=5)).collect()

@@ -3,9 +3,11 @@
 The signals of a text are built-in functions over arrays, row by row.  Their
 cutoffs come from labelled documents: for each stratum and signal a fixed grid
 of cutoffs is tried, and a cutoff may be used only if an exact binomial test
-shows that it rejects at most a stated share of the good documents.  All tests
-share one error budget (Bonferroni), so with the stated confidence every
-cutoff in use keeps its promise at once.
+shows that it rejects at most a stated share of the good documents.  Down a
+grid the tests are a fixed sequence: the loosest cutoff comes first and the
+first failure ends it, so the whole grid costs the error of one test.  The
+grids of all strata and signals share one budget (Bonferroni), so with the
+stated confidence every cutoff in use keeps its promise at once.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ SIGNALS = (
 #: chance that any cutoff breaks its part of that.  Signals that good texts
 #: also show, such as a repeated passage, get the smaller parts.
 RISK, DELTA = 0.01, 0.05
+#: Terms of a binomial sum that are added one by one.
+MAX_TERMS = 10_000
 #: Strata beyond this many, the smallest ones, use the pooled cutoffs, so that
 #: the table of cutoffs has a bound.  So do strata with too few labels.
 MAX_STRATA = 256
@@ -116,19 +120,48 @@ def value_of(signal: Signal) -> Column:
     return F.when(F.col("n_words") > 0, F.expr(signal.value)).otherwise(F.lit(0.0))
 
 
-def binomial_below(k: Column, n: Column, p: float) -> Column:
-    """ln P(X <= k) for X ~ Binomial(n, p), exactly, summed in logarithms."""
+def _log_sum(state: Column, step: Column) -> Column:
+    """The next state: the term times e ** ``step``, and the sum with it, all in logarithms."""
+    term = state["term"] + step
+    high, low = F.greatest(term, state["sum"]), F.least(term, state["sum"])
+    return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("sum"))
+
+
+def _log_factorial(n: Column) -> Column:
+    """ln n!, by Stirling's series; for n of 100 or more it is exact to 1e-15 and more."""
+    x = (n + 1).cast("double")
+    half = F.lit(0.5 * math.log(2 * math.pi))
+    return (x - 0.5) * F.log(x) - x + half + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0)))
+
+
+def binomial_below(k: Column, n: Column, p: float, max_terms: int = MAX_TERMS) -> Column:
+    """ln P(X <= k) for X ~ Binomial(n, p), summed in logarithms.
+
+    Up to ``max_terms`` the sum is exact.  A longer one is summed downwards
+    from k, and what is left out is replaced by the geometric series that
+    bounds it: for k below n * p the result is never too small.
+    """
     odds = math.log(p) - math.log1p(-p)
     first = n * F.lit(math.log1p(-p))
+    steps = F.least(k, F.lit(max_terms).cast("long"))
+
+    def up(state: Column, j: Column) -> Column:
+        return _log_sum(state, F.log((n - j + 1) / j) + F.lit(odds))
 
-    def add(state: Column, j: Column) -> Column:
-        term = state["term"] + F.log((n - j + 1) / j) + F.lit(odds)
-        high, low = F.greatest(term, state["sum"]), F.least(term, state["sum"])
-        return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("sum"))
+    def down(state: Column, i: Column) -> Column:
+        j = k - i + 1  # from the term of j to that of j - 1
+        return _log_sum(state, F.log(j / (n - j + 1)) - F.lit(odds))
 
-    start = F.struct(first.alias("term"), first.alias("sum"))
-    summed = F.aggregate(F.sequence(F.lit(1).cast("long"), k), start, add, lambda state: state["sum"])
-    return F.when(k > 0, summed).otherwise(first)
+    def summed(start: Column, step) -> Column:
+        state = F.struct(start.alias("term"), start.alias("sum"))
+        return F.aggregate(F.sequence(F.lit(1).cast("long"), steps), state, step)
+
+    at_k = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * F.lit(math.log(p)) + (n - k) * F.lit(math.log1p(-p))
+    last = summed(at_k, down)
+    ratio = (k - steps) / (n - k + steps + 1) * F.lit(math.exp(-odds))
+    rest = last["term"] + F.log(ratio) - F.log(1 - ratio)
+    beyond = F.when(ratio >= 1, F.lit(0.0)).otherwise(F.least(F.lit(0.0), last["sum"] + F.log1p(F.exp(rest - last["sum"]))))
+    return F.when(k <= 0, first).when(k <= max_terms, summed(first, up)["sum"]).otherwise(beyond)
 
 
 def choose_cutoffs(
@@ -144,9 +177,10 @@ def choose_cutoffs(
 
     ``labels`` has doc_id and quality.  Good are the documents whose labels all
     say 1 and that pass the base rules.  Each signal may reject its part of
-    ``risk`` of a stratum's good documents; a cutoff is used only if that many
+    ``risk`` of a stratum's good documents; a cutoff passes only if that many
     rejections or fewer would have a probability of at most ``delta`` / number
-    of tests, were its true share larger.  The pool is tested as one more
+    of grids, were its true share larger.  From the loosest cutoff on, the last
+    one before the first failure is used.  The pool is tested as one more
     stratum.  A stratum with too few labels for any cutoff of a signal gets the
     pooled one, unless that rejects more than the part (rounded up) of its own
     good documents.  A null rejects nothing.
@@ -161,9 +195,10 @@ def choose_cutoffs(
         )
     )
     own = stored(counted.orderBy(F.desc("n"), "stratum").limit(MAX_STRATA))
-    budget = math.log(delta / (len(tried) * (own.count() + 1)))
+    budget = math.log(delta / (len(rules) * (own.count() + 1)))
 
     def lowest(table: DataFrame) -> DataFrame:
+        # Down a grid rejections only grow, and the bound with them: all before the lowest that passes pass too.
         allowed = []
         for k, (rule, cutoff) in zip(counts, tried, strict=True):
             share = risk * rule.part
@@ -243,6 +278,11 @@ def kept_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta
 
     The cutoffs come from the labelled rows alone; the signals of all rows are
     then computed where the rows are read, so no text is shuffled or stored.
+
+    Null and empty texts fail the base rules and go; very long ones are judged
+    whole.  Rows with a null doc_id are judged by their text like all others,
+    but no label is theirs.  Repeated rows stay or go together, an empty table
+    stays empty, and other columns, whatever their names, pass unchanged.
     """
     known = labels.filter("doc_id is not null").select(F.col("doc_id").alias("_labelled")).distinct()
     own = docs.select(docs["doc_id"], docs["text"], docs["lang"].alias("_stratum"))
