@@ -345,3 +345,10 @@ def test_join_to_groups_loses_no_row(spark):
         least = {r["g"]: (r["least"], r["n"]) for r in groups.collect()}
         assert len(found) == 3000
         assert all((r["least"], r["n"]) == least.get(r["g"], (None, None)) for r in found)
+
+
+def test_join_salted_loses_no_row(spark):
+    rows = spark.range(9000).selectExpr("id", "case when id % 3 = 0 then -1 else id % 700 end as g")
+    side = spark.range(-1, 600).selectExpr("id as g", "id * 2 as x")
+    found = sorted((r["id"], r["g"], r["x"]) for r in common.join_salted(rows, side, "g", share=20).collect())
+    assert found == [(i, g, 2 * g) for i in range(9000) for g in [-1 if i % 3 == 0 else i % 700] if g < 600]

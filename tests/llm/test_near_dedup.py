@@ -86,16 +86,61 @@ def variants(rng, n_families, members, edits):
 @pytest.mark.parametrize("block", [near_dedup.BLOCK, 8])
 def test_chains_near_the_threshold(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", block)
     docs = variants(random.Random(5), 4, 70, 9)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     found = near_dedup.near_duplicates(df, 3, 0.85).collect()
     assert Counter(map(tuple, found)) == brute_force(docs, 3, 85)
 
 
+def test_a_family_of_many_components(spark, monkeypatch):
+    """20,000 texts that share most of their words, in 10,000 pairs of near copies."""
+    rng, docs = random.Random(9), []
+    shared = [f"s{i}" for i in range(60)]
+    for pair in range(10_000):
+        own = [f"p{pair}w{i}" for i in range(20)]
+        for copy in range(2):
+            docs.append((2 * pair + copy, " ".join([*shared, *own, *(["tail"] if copy else [])])))
+    rng.shuffle(docs)
+    shuffled = []
+    deal = near_dedup.dealt
+
+    def counted(members, blocks):
+        rows = near_dedup.stored(deal(members, blocks))
+        sizes = [r["count"] for r in members.groupBy("bucket").count().collect()]
+        shuffled.append((rows.count(), sizes))
+        return rows
+
+    monkeypatch.setattr(near_dedup, "dealt", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, 3, 0.85).collect()}
+    assert found == {i: i - i % 2 for i in range(20_000)}
+    rows, sizes = shuffled[0]
+    # Most texts meet in some bucket, each is shuffled once a block there, and none with its set.
+    assert max(sizes) > 5_000
+    assert rows <= sum(n * -(-n // near_dedup.BLOCK) for n in sizes) < sum(n * n for n in sizes) / 500
+    # Those that look alike by chance meet once more, with their sets.
+    for rows, sizes in shuffled[1:]:
+        assert rows <= sum(n * -(-n // near_dedup.SET_BLOCK) for n in sizes) < sum(n * n for n in sizes) / 100
+
+
 def test_query_equals_brute_force(spark):
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
-    found = queries.queries()["op8_minhash_near_dedup"](spark, DATA).select("doc_id", "n_shingles", "component_id", "kept")
+    """At this size the tables hold near copies on both sides of the threshold."""
+    sf_dir = DATA.replace("sf0.001", "sf0.01")
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    found = queries.queries()["op8_minhash_near_dedup"](spark, sf_dir).select("doc_id", "n_shingles", "component_id", "kept")
     assert Counter(map(tuple, found.collect())) == brute_force(docs, 3, 85)
+    kept = near_dedup.without_near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _, _, stays in brute_force(docs, 5, 80) if stays}
+
+
+def test_null_ids_and_ids_with_two_texts(spark):
+    one, two, three = (fixtures.prose(i, 80) for i in range(3))
+    rows = [(1, one), (None, one), (None, one), (5, two), (6, two), (6, three), (None, three[::-1]), (None, three[::-1]), (None, None), (None, "")]
+    docs = fixtures.documents(spark, [fixtures.row(*r) for r in rows])
+    kept = near_dedup.without_near_duplicates(docs).collect()
+    want = [(1, one), (5, two), (6, three), (None, three[::-1]), (None, three[::-1]), (None, None), (None, "")]
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(want)
 
 
 def test_one_of_each_group_stays(spark):
