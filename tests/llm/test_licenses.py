@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import textwrap
 from pathlib import Path
 
@@ -66,6 +67,43 @@ def test_published_texts_are_found_whole(spark):
     assert sorted((r["doc_id"], r["license_id"]) for r in rows) == [(i, license_id) for i, (license_id, _) in known.items()]
 
 
+def wrapped(text: str, columns: int) -> str:
+    """Each paragraph but notices of copyright wrapped anew."""
+    parts = re.split(r"\n[ \t]*\n", text)
+    return "\n\n".join(
+        part if part.startswith("Copyright (c)") else textwrap.fill(" ".join(part.split()), columns, break_long_words=False, break_on_hyphens=False)
+        for part in parts
+    )
+
+
+WRAPPED = {"MIT": license_scan._MIT, "ISC": license_scan._ISC, "BSD-2-Clause": BSD_2, "Apache-2.0": license_scan._APACHE_HEADER}
+
+
+def test_texts_are_found_at_any_width(spark):
+    cases = [(name, wrapped(text, columns)) for name, text in WRAPPED.items() for columns in range(40, 101, 3)]
+    full = (COMMON / "Apache-2.0").read_text("utf-8")
+    cases += [("Apache-2.0", wrapped(full, columns)) for columns in (44, 57, 72, 90)]
+    head = "Copyright (c) 2020-2023 Some One <a@b.c>\n© Another\n\n"
+    cases += [(name, head + wrapped(text, columns)) for name, text in WRAPPED.items() for columns in (44, 66, 88)]
+    docs = fixtures.documents(spark, [fixtures.row(i, text) for i, (_, text) in enumerate(cases)])
+    rows = license_scan.scan_licenses(docs).filter("unit = 'text'").collect()
+    assert sorted((r["doc_id"], r["license_id"]) for r in rows) == [(i, name) for i, (name, _) in enumerate(cases)]
+
+
+def test_repeated_words_are_all_respelled_and_a_notice_in_front_deletes_nothing(spark):
+    known = [license_scan.License("x", "license license sub license sub license end"), license_scan.License("y", "copyright notice holders")]
+    texts = [
+        "Licence licence, sublicence; sub licence END", "Copyright\nnotice holders", "COPYRIGHT 1999 Me\ncopyright notice\nholders",
+        "copyright (c) 2020 me " + license_scan._MIT.replace("\n", " "),
+    ]
+    docs = fixtures.documents(spark, [fixtures.row(i, text) for i, text in enumerate(texts)])
+    for licenses in (known, spark.createDataFrame([(k.license_id, k.text) for k in known], "license_id string, text string")):
+        rows = license_scan.scan_licenses(docs, licenses).filter("unit = 'text'").collect()
+        assert sorted((r["doc_id"], r["license_id"]) for r in rows) == [(0, "x"), (1, "y"), (2, "y")]
+    plain = docs.select("doc_id", license_scan.canonical(docs["text"]).alias("plain")).orderBy("doc_id").collect()
+    assert plain[3]["plain"].startswith("copyright c 2020 me permission is hereby granted")
+
+
 def test_published_texts_equal_the_sql(spark):
     docs = fixtures.documents(spark, fixtures.rows() + [fixtures.row(1000 + i, text) for i, (_, text) in cases().items()])
     db = duckdb.connect()
