@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import struct
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import pytest
+import zstandard
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.oracle import DATA
-from tideline.functions import codec, hashing
+from tests.oracle import DATA, assert_same
+from tideline.functions import codec, hashing, ordered
 from tideline.functions.ordered import number_rows, running_sum
 from tideline.operators import fetch, flow, groups
 from tideline.operators.packing import _summary, pack_greedy
@@ -165,6 +169,77 @@ def test_frames_refuse_damage(spark):
     assert codec.decode_frames(frames.withColumn("crc", F.col("crc") + 1)).count() == 0
 
 
+def sealed(base, records, count=None, packed=None):
+    body = zstandard.ZstdCompressor().compress(b"".join(codec._record(*r) for r in records)) if packed is None else packed
+    inner = struct.pack(">QQI", base, len(records) if count is None else count, len(body)) + body
+    return struct.pack(">QI", base, len(inner)) + inner
+
+
+def test_damaged_chunks(spark):
+    one, two = sealed(5, [("a", "1", 7), ("b", "2", 8)]), sealed(7, [("c", "3", 9)])
+    bare, short = struct.pack(">QI", 0, 0), struct.pack(">QI", 0, 7) + b"1234567"
+    chunks = {
+        "whole": one + two, "bare": one + bare + two, "short": short + one + two, "torn": one + two[:-1], "header": one + two[:11],
+        "junk": one + sealed(7, [], 1, b"junk") + two, "empty": b"", "more counted": sealed(5, [("a", "1", 7), ("b", "2", 8)], 9) + two,
+        "long view": one + struct.pack(">QIQQI", 7, 20, 7, 1, 99), "null": None,
+    }
+    inner = struct.pack(">I", 3) + b"\0\0\0" + codec._record("z", "4", 1)
+    chunks["bad record"] = sealed(5, [], 2, zstandard.ZstdCompressor().compress(inner))
+    chunks["not text"] = sealed(5, [], 1, zstandard.ZstdCompressor().compress(struct.pack(">IIbIq", 17, 1, -1, 0, 3)))
+    df = spark.createDataFrame([(k, 0, v) for k, v in chunks.items()], "topic string, partition long, frame binary")
+    found: dict[str, list] = {k: [] for k in chunks}
+    for r in codec.decode_frames(df).collect():
+        found[r["topic"]].append(r["offset"])
+    first, both = [5, 6], [5, 6, 7]
+    assert {k: sorted(v) for k, v in found.items()} == {
+        "whole": both, "bare": both, "short": both, "torn": first, "header": first, "junk": first, "empty": [], "more counted": both,
+        "long view": first, "null": [], "bad record": [6], "not text": [5],
+    }
+    walked = {r["topic"]: (r["batches"], r["records"], r["sound"]) for r in codec.recover_frames(df, ["topic"]).collect()}
+    assert walked["whole"] == (2, 3, True) and walked["empty"] == walked["null"] == (0, 0, True)
+    assert walked["bare"] == walked["torn"] == walked["header"] == (1, 2, False) and walked["short"] == (0, 0, False)
+    assert walked["junk"] == (3, 4, True) and walked["long view"] == (2, 3, True)
+
+
+@pytest.mark.parametrize("rows", [1, 7, 100])
+def test_queries_do_not_depend_on_chunks(spark, monkeypatch, rows):
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", rows)
+    names = ["log_offsets", "pollbuffer_hysteresis", "stream_append"] if rows > 1 else ["log_offsets"]
+    for name in [*names, *(["segment_roll", "poll_byte_limit"] if rows == 100 else [])]:
+        assert_same(catalog.queries()[name](spark, DATA), catalog.oracle_sql()[name])
+
+
+def test_chunks_are_bounded_and_in_order(spark):
+    rows = spark.range(20_000).selectExpr("id % 3 = 0 as k", "cast(pow(id, 1.5) as bigint) as at", "id")
+    chunked = ordered.chunk_by_count(rows, ["k"], "at", 500)
+    sizes = chunked.groupBy("k", "chunk").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).orderBy("k", "chunk").collect()
+    assert max(r["n"] for r in sizes) < 1000 and len(sizes) > 20
+    assert all(a["high"] < b["low"] for a, b in zip(sizes, sizes[1:], strict=False) if a["k"] == b["k"])
+    assert "chunk" not in ordered.chunk_by_count(rows, ["k"], "at", 20_000).columns
+
+
+def test_index_capacity_is_a_parameter(spark):
+    entries = spark.createDataFrame([("t", 0, 0, i) for i in range(5)], "topic string, partition long, segment_base long, rel_offset long")
+    for size, fits in ((0, 0), (7, 0), (8, 1), (31, 3), (400, 5)):
+        assert fetch.within_capacity(entries, size).filter("fits").count() == fits
+
+
+def test_scratch_is_shared_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tideline.functions import scratch
+
+    other = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch.scratch_dir(other)
+
+
+def test_a_missing_library_leaves_the_log_queries():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[1], timeout=120)
+    assert out.stdout.split() == [str(len(catalog.queries())), str(len(catalog.oracle_sql()))], out.stderr
+
+
 @settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, 2**63 - 1))
 def test_int_codec(spark, value):

@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes before a batch's body, and the least that a body can have.
+HEADER, MIN_BODY = 12, 20
+
+
 def encode_int(value: Column, size: int) -> Column:
     """A non-negative integer as ``size`` big-endian bytes."""
     return F.unhex(F.lpad(F.hex(value), 2 * size, "0"))
 
 
 def decode_int(data: Column, at: int, size: int) -> Column:
-    """The non-negative integer in ``size`` bytes from position ``at`` (from 0)."""
-    return F.conv(F.hex(F.substring(data, at + 1, size)), 16, 10).cast("long")
+    """The non-negative integer in ``size`` bytes from position ``at`` (from 0);
+    null if it is too large for a long."""
+    return F.conv(F.hex(F.substring(data, at + 1, size)), 16, 10).try_cast("long")
 
 
 def encode_bytes(data: Column) -> Column:
@@ -69,43 +75,126 @@ def encode_frames(bodies: DataFrame, level: int = 9) -> DataFrame:
     return bodies.mapInPandas(encode, "topic string, partition long, batch_base long, frame binary, crc long")
 
 
+def _batches_of(data: bytes) -> Iterator[tuple[int, int, int]]:
+    """(base, where the body begins, its length) of each batch of a chunk.
+
+    A batch without a body is passed on; less than a header ends the walk, and
+    a body that the chunk does not hold is told by a negative length.
+    """
+    at = 0
+    while len(data) - at >= HEADER:
+        base, size = struct.unpack_from(">QI", data, at)
+        at += HEADER
+        if size > len(data) - at:
+            yield base, at, -1
+            return
+        yield base, at, size
+        at += size
+
+
+def _view(data: bytes, at: int) -> tuple[bytes, int]:
+    """Length-prefixed bytes at ``at``, and where they end."""
+    (size,) = struct.unpack_from(">I", data, at)
+    if size > len(data) - at - 4:
+        raise struct.error("bytes end too soon")
+    return data[at + 4 : at + 4 + size], at + 4 + size
+
+
+def _records_of(data: bytes, body: int, size: int, unpack) -> Iterator[tuple[int, bytes, bytes, int]]:
+    """(offset, key, value, time) of a batch; a malformed record is left out."""
+    base, count = struct.unpack_from(">QQ", data, body)
+    packed, _ = _view(data[body : body + size], 16)
+    inner, at = unpack(packed), 0
+    for i in range(count):
+        if at >= len(inner):
+            return
+        record, at = _view(inner, at)
+        try:
+            key, after = _view(record, 0)
+            value, after = _view(record, after)
+            (time_ms,) = struct.unpack_from(">q", record, after)
+        except struct.error:
+            continue
+        yield base + i, key, value, time_ms
+
+
 def decode_frames(frames: DataFrame) -> DataFrame:
     """(topic, partition, offset, key, value, time_ms) of the records in frames.
 
-    A frame whose checksum differs is refused, one without a body is skipped,
-    one that is cut off is an error, and a malformed record is left out.
+    ``frame`` holds any number of batches.  If there is a column ``crc`` and the
+    checksum differs, the frame is refused.  A batch without a body, or with
+    too short a one, is skipped; a torn tail or a body that cannot be unpacked
+    ends the frame, whose batches before stand.  Null frames have no records.
+    Bytes that are not UTF-8 are kept as they are.
     """
+    checked = "crc" in frames.columns
 
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
         import zstandard
 
         unpacker = zstandard.ZstdDecompressor()
         for part in parts:
-            rows = []
-            for row in part.itertuples(index=False):
-                frame = bytes(row.frame)
-                if zlib.crc32(frame) != row.crc:
-                    continue
-                _, size = struct.unpack_from(">QI", frame)
-                if size == 0:
+            row, found = [], []
+            for i, frame in enumerate(part.column("frame").to_pylist()):
+                if not frame or checked and zlib.crc32(frame) != part.column("crc")[i].as_py():
                     continue
-                if len(frame) < 12 + size or size < 20:
-                    raise ValueError(f"frame at {row.batch_base} is cut off")
-                base, count, packed = struct.unpack_from(">QQI", frame, 12)
-                data, at = unpacker.decompress(frame[32 : 32 + packed]), 0
-                for i in range(count):
-                    (length,) = struct.unpack_from(">I", data, at)
-                    body, at = data[at + 4 : at + 4 + length], at + 4 + length
-                    try:
-                        (n,) = struct.unpack_from(">I", body)
-                        (m,) = struct.unpack_from(">I", body, 4 + n)
-                        (time_ms,) = struct.unpack_from(">q", body, 8 + n + m)
-                    except struct.error:
-                        continue
-                    key, value = body[4 : 4 + n].decode(), body[8 + n : 8 + n + m].decode()
-                    rows.append((row.topic, row.partition, base + i, key, value, time_ms))
-            yield pd.DataFrame(rows, columns=["topic", "partition", "offset", "key", "value", "time_ms"])
-
-    return frames.mapInPandas(decode, "topic string, partition long, offset long, key string, value string, time_ms long")
+                try:
+                    for _, body, size in _batches_of(frame):
+                        if size < 0:
+                            break
+                        if size >= MIN_BODY:
+                            records = list(_records_of(frame, body, size, unpacker.decompress))
+                            row += [i] * len(records)
+                            found += records
+                except (struct.error, zstandard.ZstdError):
+                    pass
+            columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
+            rows = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("topic").take(rows), part.column("partition").take(rows)]
+                + [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
+                ["topic", "partition", "offset", "key", "value", "time_ms"],
+            )
+
+    wanted = frames.select("topic", "partition", "frame", *(["crc"] if checked else []))
+    decoded = wanted.mapInArrow(decode, "topic string, partition long, offset long, key binary, value binary, time_ms long")
+    return decoded.withColumns({c: F.col(c).cast("string") for c in ("key", "value")})
+
+
+def recover_frames(files: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Columns ``keep``, batches, records and sound of each file (column ``frame``).
+
+    Batches are counted from the start up to the first that has less than a
+    header, no body, one that is not whole, or one too short to say how many
+    records it has; ``sound`` says that there is none.
+    """
+
+    def walk(data: bytes) -> tuple[int, int, bool]:
+        batches, records, end = 0, 0, 0
+        for _, body, size in _batches_of(data):
+            if size < 16:
+                return batches, records, False
+            (count,) = struct.unpack_from(">Q", data, body + 8)
+            batches, records, end = batches + 1, records + count, body + size
+        return batches, records, end == len(data)
+
+    def recover(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [walk(data or b"") for data in part.column("frame").to_pylist()]
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            kinds = (pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(c) for c in keep] + [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
+                [*keep, "batches", "records", "sound"],
+            )
+
+    kept = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
+    return files.select(*keep, "frame").mapInArrow(recover, f"{kept}, batches long, records long, sound boolean")
+
+
+def joined_bytes(parts: Column) -> Column:
+    """An array of binaries as one."""
+    return F.aggregate(parts, F.lit("").cast("binary"), lambda sofar, part: F.concat(sofar, part))

@@ -13,11 +13,13 @@ _MADE: list[str] = []
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, a laptop) a temporary folder
-    takes its place.
+    Only where that setting is missing and Spark is local (tests, a laptop) a
+    temporary folder takes its place; executors elsewhere would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tideline-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tideline-{uuid.uuid4().hex}"

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tideline.operators.packing import pack_greedy
 
 LOG = ["topic", "partition"]
+#: Fixed value: bytes of an index entry.
+ENTRY_BYTES = 8
 
 
 def pack_batches(log: DataFrame, capacity: int) -> DataFrame:
@@ -98,6 +100,13 @@ def sparse_index(segmented: DataFrame, interval: int, recovering: bool = False)
     )
 
 
+def within_capacity(entries: DataFrame, index_bytes: int) -> DataFrame:
+    """Add ``fits``: whether an index of ``index_bytes`` has room for the entry,
+    those of a segment being written in order."""
+    place = F.row_number().over(Window.partitionBy(*LOG, "segment_base").orderBy("rel_offset"))
+    return entries.withColumn("fits", place * ENTRY_BYTES <= index_bytes)
+
+
 def lookup_interval(
     targets: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, low: str, high: str, width: int = 4096
 ) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -58,18 +59,20 @@ def pack_greedy(
     key_fields = [T.StructField(k, kind[k]) for k in keys]
     longs = T.ArrayType(T.LongType())
 
-    def summarise(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(item)
-        sizes, ids = group[size].to_numpy(np.int64), group[item].to_numpy(np.int64)
+    def summarise(group: pa.Table) -> pa.Table:
+        group = group.sort_by(item)
+        sizes, ids = group[size].to_numpy().astype(np.int64), group[item].to_numpy().astype(np.int64)
         needed, used, opened = _summary(sizes, ids, capacity)
-        head = group.iloc[:1][[*keys, "chunk"]]
-        return head.assign(total=sizes.sum(), needed=[needed], used=[used], opened=[opened])
+        columns = {k: group[k].slice(0, 1) for k in (*keys, "chunk")}
+        arrays = {name: pa.array([v], pa.list_(pa.int64())) for name, v in (("needed", needed), ("used", used), ("opened", opened))}
+        return pa.table(columns | {"total": pa.array([int(sizes.sum())], pa.int64())} | arrays)
 
     summary_schema = T.StructType(
         [*key_fields, T.StructField("chunk", T.LongType()), T.StructField("total", T.LongType())]
         + [T.StructField(name, longs) for name in ("needed", "used", "opened")]
     )
-    summaries = rows.select(*keys, "chunk", item, size).groupBy(*keys, "chunk").applyInPandas(summarise, summary_schema)
+    numbers = rows.select(*keys, "chunk", item, size)
+    summaries = numbers.groupBy(*keys, "chunk").applyInArrow(summarise, summary_schema)
 
     def follow(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         log, used, opened = None, 0, None
@@ -96,19 +99,20 @@ def pack_greedy(
     )
     entries = summaries.repartition(*keys).sortWithinPartitions(*keys, "chunk").mapInPandas(follow, entry_schema)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(item)
-        sizes, ids = group[size].to_numpy(np.int64), group[item].to_numpy(np.int64)
+    def fold(group: pa.Table) -> pa.Table:
+        group = group.sort_by(item)
+        sizes, ids = group[size].to_numpy().astype(np.int64), group[item].to_numpy().astype(np.int64)
         ends, following = _next_starts(sizes, capacity)
-        opened, used = group["_opened"].iloc[0], int(group["_used"].iloc[0])
-        first = 0 if pd.isna(opened) else int(np.searchsorted(ends, capacity - used, side="right"))
+        opened, used = group["_opened"][0].as_py(), group["_used"][0].as_py()
+        first = 0 if opened is None else int(np.searchsorted(ends, capacity - used, side="right"))
         starts = np.zeros(len(ids), np.int64)
-        starts[:first] = 0 if pd.isna(opened) else int(opened)
+        starts[:first] = 0 if opened is None else opened
         at = first
         while at < len(ids):
             starts[at : following[at]] = ids[at]
             at = following[at]
-        return group.drop(columns=["_used", "_opened"]).assign(**{start: starts})
+        return group.drop_columns(["_used", "_opened"]).append_column(start, pa.array(starts))
 
     out_schema = T.StructType([*rows.schema.fields, T.StructField(start, T.LongType())])
-    return rows.join(entries, [*keys, "chunk"]).select(*rows.columns, "_used", "_opened").groupBy(*keys, "chunk").applyInPandas(fold, out_schema)
+    begun = rows.join(entries, [*keys, "chunk"]).select(*rows.columns, "_used", "_opened")
+    return begun.groupBy(*keys, "chunk").applyInArrow(fold, out_schema)

@@ -66,6 +66,8 @@ def poll_byte_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch of each partition in turn, until the bytes reach the limit."""
     rows = log_ops.summarise_batches(packed(spark, sf_dir))
     turns = number_rows(rows, LOG, ["batch_base"], "turn")
+    # Each turn before brings a batch, and no batch is smaller than an empty record.
+    turns = turns.filter(F.col("turn") * source.RECORD_OVERHEAD < POLL_BYTES)
     queue = stored(turns.withColumn("poll", F.lit(0)).withColumn("chunk", F.col("turn")))
     run = running_sum(queue, ["poll"], ["topic", "partition"], F.col("batch_bytes"), "upto")
     sofar = F.col("upto") - F.col("batch_bytes")
@@ -205,8 +207,8 @@ def poll_microbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_append", sql.with_(sql.LOG) + 'select topic, "partition", key, value, time_ms, "offset" from log')
 def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offsets from a stateful stream: the batch twin is log_offsets."""
-    return poll.run_to_end(poll.append_stream(poll.message_stream(spark, sf_dir)))
+    """Offsets from a stream that carries the logs' ends: the batch twin is log_offsets."""
+    return poll.append_stream(poll.message_stream(spark, sf_dir))
 
 
 @query(

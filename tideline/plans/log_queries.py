@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.functions import codec
 from tideline.functions.scratch import stored
 from tideline.operators import fetch as ops
 from tideline.plans import sql
@@ -12,8 +13,8 @@ from tideline.plans.registry import query
 from tideline.sources import events as source
 
 LOG = source.LOG
-#: Bytes of a batch, a segment and an index interval; what reads may ask for.
-BATCH, SEGMENT, INTERVAL = 256, 1024, 512
+#: Bytes of a batch, a segment, an index interval and an index; what reads may ask for.
+BATCH, SEGMENT, INTERVAL, INDEX_BYTES = 256, 1024, 512, 8
 BUDGETS = (0, 1, 256, 257, 1024)
 
 
@@ -288,11 +289,11 @@ def sparse_index_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
         (count(*) * 8)::bigint as bytes from indexed where hit group by all""",
 )
 def index_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of fixed size drops the entries beyond it (here: of one)."""
+    """An index of fixed size drops the entries beyond it."""
     entries = ops.sparse_index(segmented(spark, sf_dir), INTERVAL)
-    ranked = entries.withColumn("rank", F.row_number().over(Window.partitionBy(*LOG, "segment_base").orderBy("rel_offset")))
-    return ranked.groupBy(*LOG, "segment_base").agg(
-        F.count("*").alias("wanted"), F.count_if(F.col("rank") <= 1).alias("stored"), (F.count("*") * 8).alias("bytes")
+    kept = ops.within_capacity(entries, INDEX_BYTES)
+    return kept.groupBy(*LOG, "segment_base").agg(
+        F.count("*").alias("wanted"), F.count_if("fits").alias("stored"), (F.count("*") * ops.ENTRY_BYTES).alias("bytes")
     )
 
 
@@ -323,29 +324,69 @@ def index_floor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_DAMAGED = """damaged as (select *, segment_base % 5 as damage, max(k) over (partition by topic, "partition", segment_base) as last from placed)"""
+
+
+def damaged_segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(segmented, files): the bytes of each segment, four in five of them damaged.
+
+    By segment_base % 5: 0 sound, 1 the last five bytes torn off, 2 a header
+    without a body before the second batch, 3 a body of seven bytes there, 4
+    the compressed records of the third batch overwritten.
+    """
+    records = stored(packed(spark, sf_dir))
+    rolled = stored(ops.roll_segments(ops.summarise_batches(records), SEGMENT))
+    k = F.row_number().over(Window.partitionBy(*LOG, "segment_base").orderBy("batch_base"))
+    frames = codec.encode_frames(ops.batch_bodies(records)).join(rolled.withColumn("k", k).select(*LOG, "batch_base", "segment_base", "k"), [*LOG, "batch_base"])
+    damage, frame = F.col("segment_base") % 5, F.col("frame")
+    empty, short = F.unhex(F.lit("00" * 12)), F.unhex(F.lit("00" * 8 + "00000007" + "00" * 7))
+    overwritten = F.concat(F.substring(frame, 1, 32), F.unhex(F.repeat(F.lit("FF"), F.octet_length(frame) - 32)))
+    frame = (
+        F.when((damage == 2) & (F.col("k") == 2), F.concat(empty, frame))
+        .when((damage == 3) & (F.col("k") == 2), F.concat(short, frame))
+        .when((damage == 4) & (F.col("k") == 3), overwritten)
+        .otherwise(frame)
+    )
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("k", frame.alias("frame")))), lambda part: part["frame"])
+    files = frames.groupBy(*LOG, "segment_base").agg(codec.joined_bytes(parts).alias("frame"))
+    torn = F.substring("frame", F.lit(1), F.octet_length("frame") - 5)
+    return rolled, files.withColumn("frame", F.when(damage == 1, torn).otherwise(F.col("frame")))
+
+
+@query(
+    "decode_damaged",
+    sql.with_(sql.LOG, sql.BATCHES, sql.SEGMENTS, _DAMAGED)
+    + """select p.topic, p."partition", p."offset", p.key, p.value, p.time_ms from packed p join damaged d
+        on d.topic = p.topic and d."partition" = p."partition" and d.batch_base = p.batch_base
+    where not (damage = 1 and k = last) and not (damage = 4 and k >= 3)""",
+)
+def decode_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records that can be read out of damaged segments."""
+    return codec.decode_frames(damaged_segments(spark, sf_dir)[1])
+
+
 @query(
     "recovery_valid_prefix",
     sql.with_(
         sql.LOG,
         sql.BATCHES,
         sql.SEGMENTS,
-        """torn as (select *, (batch_base + segment_base) % 7 = 6 as broken from placed)""",
-        """walked as (select *, bool_or(broken) over (partition by topic, "partition", segment_base order by batch_base) as lost from torn)""",
+        _DAMAGED,
+        """walked as (select *, (damage = 1 and k = last) or (damage in (2, 3) and k >= 2) as lost from damaged)""",
     )
-    + """select topic, "partition", segment_base, count(*) filter (not lost)::bigint as batches,
+    + """select topic, "partition", segment_base, count(*) filter (not lost)::bigint as batches, not bool_or(lost) as sound,
         (segment_base + coalesce(sum(batch_count) filter (not lost), 0))::bigint as next_offset,
         coalesce(sum(batch_bytes) filter (not lost), 0)::bigint as valid_bytes from walked group by topic, "partition", segment_base""",
 )
 def recovery_valid_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each segment before its first broken batch."""
-    torn = segmented(spark, sf_dir).withColumn("broken", (F.col("batch_base") + F.col("segment_base")) % 7 == 6)
-    so_far = Window.partitionBy(*LOG, "segment_base").orderBy("batch_base")
-    kept = ~F.max("broken").over(so_far)
-    walked = torn.withColumn("kept", kept)
-    return walked.groupBy(*LOG, "segment_base").agg(
-        F.count_if("kept").alias("batches"),
-        (F.col("segment_base") + F.coalesce(F.sum(F.when(F.col("kept"), F.col("batch_count"))), F.lit(0))).alias("next_offset"),
-        F.coalesce(F.sum(F.when(F.col("kept"), F.col("batch_bytes"))), F.lit(0)).alias("valid_bytes"),
+    """What a walk over each damaged segment's bytes leaves of it."""
+    rolled, files = damaged_segments(spark, sf_dir)
+    found = codec.recover_frames(files, [*LOG, "segment_base"])
+    k = F.row_number().over(Window.partitionBy(*LOG, "segment_base").orderBy("batch_base"))
+    valid = rolled.withColumn("k", k).join(found, [*LOG, "segment_base"])
+    inside = F.when(F.col("k") <= F.col("batches"), F.col("batch_bytes"))
+    return valid.groupBy(*LOG, "segment_base", "batches", "sound", (F.col("segment_base") + F.col("records")).alias("next_offset")).agg(
+        F.coalesce(F.sum(inside), F.lit(0)).alias("valid_bytes")
     )
 
 

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions.ordered import add_chunk, number_rows
+from tideline.functions import ordered
 
 LOG = ["topic", "partition"]
-#: A log is cut into weeks; a busier one would be cut into hours.
-CHUNK_MS = 7 * 86_400_000
 #: Bytes of a record besides its key and value.
 RECORD_OVERHEAD = 20
 
@@ -41,12 +39,18 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
     )
     sized = events.withColumn("nbytes", record_bytes(F.col("key"), F.col("value")))
-    return add_chunk(sized, "time_ms", CHUNK_MS)
+    return sized
 
 
 def append(rows: DataFrame) -> DataFrame:
-    """Give each message the next offset of its topic and partition."""
-    return number_rows(rows, LOG, ["ts", "event_id"], "offset")
+    """Give each message the next offset of its topic and partition.
+
+    ``chunk`` is then a number of offsets, so that no later step over the log
+    has more than ``CHUNK_ROWS`` of it in one task.
+    """
+    chunked = ordered.chunk_by_count(rows, LOG, "time_ms", ordered.CHUNK_ROWS)
+    numbered = ordered.number_rows(chunked, LOG, ["ts", "event_id"], "offset")
+    return numbered.withColumn("chunk", F.floor(F.col("offset") / ordered.CHUNK_ROWS))
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tideline.functions import ordered
 from tideline.functions.scratch import scratch_dir
 from tideline.sources import events as source
 
@@ -49,22 +46,35 @@ def run_to_end(stream: DataFrame) -> DataFrame:
 
 
 def append_stream(messages: DataFrame) -> DataFrame:
-    """Offsets from a counter that is kept for each topic and partition."""
-
-    def number(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (following,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        offsets = range(following, following + len(rows))
-        state.update((following + len(rows),))
-        yield rows[["topic", "partition", "key", "value", "time_ms"]].assign(offset=offsets)
-
-    return messages.groupBy(*LOG).applyInPandasWithState(
-        number,
-        "topic string, partition long, key string, value string, time_ms long, offset long",
-        "following long",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    """Offsets for all messages of a stream, in the order of their arrival.
+
+    Each micro-batch is numbered like a log of its own and shifted by the
+    offsets at which the logs ended before it.  Its rows and the new ends are
+    written under the number of the micro-batch, so one that is run again
+    after a failure replaces what it wrote: every message is there once.
+    """
+    spark, folder = messages.sparkSession, scratch_dir(messages.sparkSession)
+    columns = [*LOG, "key", "value", "time_ms", "offset"]
+    none = spark.createDataFrame([], "topic string, partition long, following long")
+
+    def append(rows: DataFrame, number: int) -> None:
+        before = spark.read.schema(none.schema).parquet(f"{folder}/ends/{number - 1}") if number else none
+        numbered = ordered.number_rows(ordered.chunk_by_count(rows, LOG, "time_ms", ordered.CHUNK_ROWS), LOG, ["ts", "event_id"], "place")
+        shifted = numbered.join(before, LOG, "left").withColumn("offset", F.col("place") + F.coalesce("following", F.lit(0)))
+        shifted.select(columns).write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
+        added = rows.groupBy(*LOG).agg(F.count("*").alias("following"))
+        ends = before.unionByName(added).groupBy(*LOG).agg(F.sum("following").alias("following"))
+        ends.write.mode("overwrite").parquet(f"{folder}/ends/{number}")
+
+    query = (
+        messages.writeStream.foreachBatch(append)
+        .option("checkpointLocation", f"{folder}/positions")
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
+    schema = "topic string, partition long, key string, value string, time_ms long, offset long, batch int"
+    return spark.read.schema(schema).parquet(f"{folder}/log").drop("batch")
 
 
 def daily_counts(messages: DataFrame) -> DataFrame:
