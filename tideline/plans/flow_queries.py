@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions.ordered import number_rows, running_sum
+from tideline.functions.ordered import chunk_by_count, number_rows, running_sum
 from tideline.functions.scratch import stored
 from tideline.operators import fetch as log_ops
 from tideline.operators import flow as ops
@@ -32,8 +32,8 @@ def inflight_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         F.expr("user_id % 3").alias("client"),
         F.when(F.col("topic").isin("click", "purchase", "view"), 1).otherwise(-1).alias("delta"),
-        F.expr("event_id div 10000").alias("chunk"),
     )
+    moves = chunk_by_count(moves, ["client"], "event_id")
     run = running_sum(moves, ["client"], ["event_id"], F.col("delta"), "flying")
     return run.select("event_id", "client", "flying", ((F.col("delta") == 1) & (F.col("flying") - 1 >= MAX_IN_FLIGHT)).alias("refused"))
 

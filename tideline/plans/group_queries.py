@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.ordered import number_rows
+from tideline.functions.ordered import chunk_by_count, number_rows, running_sum
 from tideline.operators import groups as ops
 from tideline.plans import sql
 from tideline.plans.registry import query
@@ -261,72 +261,98 @@ def members_expired_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.withColumn("expired", now - F.col("last_beat") >= SESSION_MS)
 
 
+def rebalancing() -> Column:
+    """A group is between two assignments while its last change is later than its last synchronisation."""
+    return F.col("synced").isNull() | (F.col("changed") > F.col("synced"))
+
+
 @query(
     "heartbeat_last",
-    sql.with_(_BEATS) + "select user_id as member, max(beat) as last_beat, count(*)::bigint as beats from beats where user_id % 4 <> 3 group by user_id",
+    sql.with_(sql.ROSTER)
+    + """select m.grp, m.member, max(event_id) as last_beat, count(*)::bigint as beats from moves m join roster r on r.grp = m.grp and r.member = m.member
+    join groups g on g.grp = m.grp where not gone and g.changed <= g.synced group by m.grp, m.member""",
 )
 def heartbeat_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest heartbeat of members whose group is stable (here: state 3 is not)."""
-    stable = heartbeats(spark, sf_dir).filter("user_id % 4 <> 3")
-    return stable.groupBy(F.col("user_id").alias("member")).agg(F.max("at").alias("last_beat"), F.count("*").alias("beats"))
+    """The newest heartbeat of the present members of groups that are stable."""
+    stable = source.groups(spark, sf_dir).filter(~rebalancing()).select("grp")
+    present = source.roster(spark, sf_dir).filter("not gone").join(stable, "grp", "left_semi").select("grp", "member")
+    beats = source.moves(spark, sf_dir).groupBy("grp", "member").agg(F.max("event_id").alias("last_beat"), F.count("*").alias("beats"))
+    return beats.join(present, ["grp", "member"])
 
 
 @query(
     "rejoin_on_generation",
-    "select user_id as member, count(*)::bigint as rejoins from events where event_id % 5 <> user_id % 5 group by user_id",
+    sql.with_(
+        sql.ROSTER,
+        """run as (select *, event_type in ('signup', 'error') as moves, sum((event_type in ('signup', 'error'))::int) over (partition by grp order by event_id) as generation
+            from moves)""",
+        """own as (select *, last_value(case when moves then generation end ignore nulls) over (partition by grp, member order by event_id) as known from run)""",
+    )
+    + "select grp, member, count(*) filter (not moves and known <> generation)::bigint as rejoins from own group by grp, member",
 )
 def rejoin_on_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heartbeats whose generation is not the member's own ask it to rejoin."""
-    beats = source.table(spark, sf_dir, "events").filter("event_id % 5 <> user_id % 5")
-    return beats.groupBy(F.col("user_id").alias("member")).agg(F.count("*").alias("rejoins"))
+    """Heartbeats after a change of the group that is newer than the member's own ask it to rejoin."""
+    moves = source.moves(spark, sf_dir).withColumn("moves", F.col("event_type").isin("signup", "error"))
+    chunked = chunk_by_count(moves, ["grp"], "event_id")
+    run = running_sum(chunked, ["grp"], ["event_id"], F.col("moves").cast("int"), "generation")
+    own = Window.partitionBy("grp", "member").orderBy("event_id")
+    known = F.last(F.when(F.col("moves"), F.col("generation")), ignorenulls=True).over(own)
+    asked = run.withColumn("known", known)
+    return asked.groupBy("grp", "member").agg(F.count_if(~F.col("moves") & (F.col("known") != F.col("generation"))).alias("rejoins"))
 
 
 @query(
     "sync_status",
-    sql.with_(sql.TOPICS, sql.MEMBERS, _ASSIGNED)
-    + """select event_id, case when user_id % 10 = 9 then 'GROUP_NOT_FOUND' when user_id % 10 = 8 then 'MEMBER_NOT_FOUND'
-        when event_id % 6 = 5 then 'ILLEGAL_GENERATION' when event_type = 'click' then 'NULL_ERROR'
-        when event_id % 4 = 1 then 'REBALANCE_IN_PROGRESS' when event_id % 4 = 2 then 'AWAITING_LEADER_SYNC'
+    sql.with_(sql.TOPICS, sql.MEMBERS, _ASSIGNED, sql.ROSTER)
+    + """select m.event_id, case when g.grp is null then 'GROUP_NOT_FOUND' when r.member is null or r.gone then 'MEMBER_NOT_FOUND'
+        when r.changed <> g.changed and r.member <> g.leader then 'ILLEGAL_GENERATION' when r.member = g.leader then 'NULL_ERROR'
+        when g.synced is null or g.changed > g.synced then 'REBALANCE_IN_PROGRESS'
+        when g.leader_synced is null or g.leader_synced < g.changed then 'AWAITING_LEADER_SYNC'
         when a.member is null then 'NO_ASSIGNED_PARTITION' else 'NULL_ERROR' end as status, a.n as partitions
-    from events left join (select member, count(*)::bigint as n from assigned group by member) a on a.member = 'NATION_' || (event_id % 25)""",
+    from moves m left join groups g on g.grp = m.grp left join roster r on r.grp = m.grp and r.member = m.member
+    left join (select member, count(*)::bigint as n from assigned group by member) a on a.member = 'NATION_' || (m.member % 25)""",
 )
 def sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answer to a sync: errors by precedence; clicks come from the leader."""
+    """The answer to a member that asks for its share now: errors by precedence,
+    each from what the groups, the roster and the assignment hold."""
     assigned = ops.assign_round_robin(source.members(spark, sf_dir), source.topics(spark, sf_dir))
-    shares = assigned.groupBy("member").agg(F.count("*").alias("partitions"))
-    asked = source.table(spark, sf_dir, "events").withColumn("member", F.expr("concat('NATION_', event_id % 25)"))
+    shares = assigned.groupBy(F.col("member").alias("nation")).agg(F.count("*").alias("partitions"))
+    present = source.roster(spark, sf_dir).select("grp", "member", F.col("changed").alias("own_change"), "gone")
+    asked = source.moves(spark, sf_dir).withColumn("nation", F.expr("concat('NATION_', member % 25)"))
+    joined = asked.join(source.groups(spark, sf_dir), "grp", "left").join(present, ["grp", "member"], "left").join(shares, "nation", "left")
+    leads = F.coalesce(F.col("member") == F.col("leader"), F.lit(False))
     status = ops.first_status(
-        (F.col("user_id") % 10 == 9, "GROUP_NOT_FOUND"),
-        (F.col("user_id") % 10 == 8, "MEMBER_NOT_FOUND"),
-        (F.col("event_id") % 6 == 5, "ILLEGAL_GENERATION"),
-        (F.col("event_type") == "click", "NULL_ERROR"),
-        (F.col("event_id") % 4 == 1, "REBALANCE_IN_PROGRESS"),
-        (F.col("event_id") % 4 == 2, "AWAITING_LEADER_SYNC"),
+        (F.col("changed").isNull(), "GROUP_NOT_FOUND"),
+        (F.col("gone").isNull() | F.col("gone"), "MEMBER_NOT_FOUND"),
+        ((F.col("own_change") != F.col("changed")) & ~leads, "ILLEGAL_GENERATION"),
+        (leads, "NULL_ERROR"),
+        (rebalancing(), "REBALANCE_IN_PROGRESS"),
+        (F.col("leader_synced").isNull() | (F.col("leader_synced") < F.col("changed")), "AWAITING_LEADER_SYNC"),
         (F.col("partitions").isNull(), "NO_ASSIGNED_PARTITION"),
     )
-    return asked.join(shares, "member", "left").select("event_id", status.alias("status"), "partitions")
+    return joined.select("event_id", status.alias("status"), "partitions")
 
 
 @query(
     "fetch_status",
-    sql.with_(sql.LOG, sql.ENDS, sql.TOPICS)
-    + """select event_id, case when user_id % 10 = 9 then 'GROUP_NOT_FOUND' when user_id % 10 = 8 then 'EMPTY_GROUP'
-        when user_id % 10 = 7 then 'REBALANCE_IN_PROGRESS' when t.topic is null then 'TOPIC_NOT_FOUND'
-        when e.end_offset is null or event_id // 20 >= e.end_offset then 'NO_RECORD' else 'NULL_ERROR' end as status
-    from events v left join topics t on t.topic = v.event_type and t.topic <> 'error'
+    sql.with_(sql.LOG, sql.ENDS, sql.TOPICS, sql.ROSTER)
+    + """select v.event_id, case when g.grp is null then 'GROUP_NOT_FOUND' when g.members = 0 then 'EMPTY_GROUP'
+        when g.synced is null or g.changed > g.synced then 'REBALANCE_IN_PROGRESS' when t.topic is null then 'TOPIC_NOT_FOUND'
+        when e.end_offset is null or v.event_id // 20 >= e.end_offset then 'NO_RECORD' else 'NULL_ERROR' end as status
+    from moves v left join groups g on g.grp = v.grp left join topics t on t.topic = v.event_type and t.topic <> 'error'
     left join ends e on e.topic = v.event_type and e."partition" = v.event_id % 6""",
 )
 def fetch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answer to a read: errors by precedence; a bad partition has no record."""
+    """The answer to a read for a group now: errors by precedence; a bad partition has no record."""
     known = source.topics(spark, sf_dir).filter("topic <> 'error'").select("topic", F.lit(True).alias("known"))
-    asked = source.table(spark, sf_dir, "events").select(
-        "event_id", "user_id", F.col("event_type").alias("topic"), F.expr("event_id % 6").alias("partition"), F.expr("event_id div 20").alias("at")
+    asked = source.moves(spark, sf_dir).select(
+        "event_id", "grp", F.col("event_type").alias("topic"), F.expr("event_id % 6").alias("partition"), F.expr("event_id div 20").alias("at")
     )
-    joined = asked.join(known, "topic", "left").join(ends(spark, sf_dir), LOG, "left")
+    joined = asked.join(source.groups(spark, sf_dir), "grp", "left").join(known, "topic", "left").join(ends(spark, sf_dir), LOG, "left")
     status = ops.first_status(
-        (F.col("user_id") % 10 == 9, "GROUP_NOT_FOUND"),
-        (F.col("user_id") % 10 == 8, "EMPTY_GROUP"),
-        (F.col("user_id") % 10 == 7, "REBALANCE_IN_PROGRESS"),
+        (F.col("changed").isNull(), "GROUP_NOT_FOUND"),
+        (F.col("members") == 0, "EMPTY_GROUP"),
+        (rebalancing(), "REBALANCE_IN_PROGRESS"),
         (F.col("known").isNull(), "TOPIC_NOT_FOUND"),
         (F.col("end_offset").isNull() | (F.col("at") >= F.col("end_offset")), "NO_RECORD"),
     )
@@ -351,8 +377,8 @@ def rebalance_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         F.col("user_id").alias("member"),
         F.when(F.col("topic") == "error", "leave").otherwise("join").alias("action"),
-        F.expr("event_id div 10000").alias("chunk"),
     )
+    changes = chunk_by_count(changes, ["grp"], "event_id")
     return number_rows(changes, ["grp"], ["event_id"], "generation").drop("chunk")
 
 

@@ -49,6 +49,14 @@ COMMITS = """commits as (
         (case when event_id % 3 = 0 then ("offset" + 1) // 2 else "offset" + 1 end)::bigint as "offset", event_id as seq, time_ms
     from log)"""
 
+ROSTER = """moves as (select 'g' || (user_id % 40) as grp, user_id as member, event_id, event_type from events),
+roster as (select grp, member, max(event_id) as changed, max_by(event_type, event_id) = 'error' as gone
+    from moves where event_type in ('signup', 'error') group by grp, member),
+syncs as (select grp, member, max(event_id) as synced from moves where event_type = 'purchase' group by grp, member),
+grps as (select r.grp, max(changed) as changed, min(r.member) filter (not gone) as leader, (count(*) filter (not gone))::bigint as members,
+    (select max(synced) from syncs s where s.grp = r.grp) as synced from roster r group by r.grp),
+groups as (select g.*, s.synced as leader_synced from grps g left join syncs s on s.grp = g.grp and s.member = g.leader)"""
+
 
 def with_(*parts: str) -> str:
     return "with recursive " + ",\n".join(parts) + "\n"

@@ -87,3 +87,31 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("member"), F.explode(F.expr("array(n_regionkey, (n_regionkey + 1) % 5)")).alias("i")
     )
     return wanted.join(named, "i").select("member", "topic")
+
+
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as what members of forty groups do: a signup joins, an error
+    leaves, a purchase synchronises, all others only show that one is alive."""
+    grp = F.concat(F.lit("g"), (F.col("user_id") % 40).cast("string"))
+    return table(spark, sf_dir, "events").select(grp.alias("grp"), F.col("user_id").alias("member"), "event_id", "event_type")
+
+
+def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grp, member, changed, gone): each member's last change and whether it left."""
+    changes = moves(spark, sf_dir).filter("event_type in ('signup', 'error')")
+    gone = (F.max_by("event_type", "event_id") == "error").alias("gone")
+    return changes.groupBy("grp", "member").agg(F.max("event_id").alias("changed"), gone)
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grp, changed, leader, members, synced, leader_synced) of every group that
+    ever had a member; the last two are null before anyone synchronised."""
+    syncs = moves(spark, sf_dir).filter("event_type = 'purchase'")
+    by_member = syncs.groupBy("grp", F.col("member").alias("leader")).agg(F.max("event_id").alias("leader_synced"))
+    by_group = syncs.groupBy("grp").agg(F.max("event_id").alias("synced"))
+    found = roster(spark, sf_dir).groupBy("grp").agg(
+        F.max("changed").alias("changed"),
+        F.min(F.when(~F.col("gone"), F.col("member"))).alias("leader"),
+        F.count_if(~F.col("gone")).alias("members"),
+    )
+    return found.join(by_group, "grp", "left").join(by_member, ["grp", "leader"], "left")
