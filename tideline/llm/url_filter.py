@@ -16,12 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ascii_lower, stored
+from tideline.llm.common import ascii_lower, join_salted, stored
 
 #: Bits a key gets in its level, and the bits set for it: about 1 % false positives.
 BITS_PER_KEY, PROBES = 10, 7
 #: Words a level may have to be held whole by every task (8 MB).
 MAX_WORDS = 1 << 20
+#: Words of a block of a larger level (64 KB): so many blocks that their numbers spread.
+BLOCK_WORDS = 1 << 13
 MAX_LEVELS = 24
 
 
@@ -87,10 +89,10 @@ def _block(key: Column, number: int, blocks: int) -> Column:
 def build_level(keys: DataFrame, number: int, count: int, max_words: int = MAX_WORDS) -> Level:
     """A Bloom filter over column ``key``; ``count`` is the number of keys.
 
-    A filter over ``max_words`` is cut into blocks by a hash of the key.
+    A filter over ``max_words`` is cut into small blocks by a hash of the key.
     """
     needed = max(1, -(-count * BITS_PER_KEY // 64))
-    blocks = -(-needed // max_words)
+    blocks = 1 if needed <= max_words else -(-needed // min(max_words, BLOCK_WORDS))
     words = -(-needed // blocks)
     bits = keys.select(
         _block(F.col("key"), number, blocks).alias("block"),
@@ -119,13 +121,14 @@ def let_through(rows: DataFrame, level: Level, key: str = "key") -> DataFrame:
 
     A level of one block is a scalar subquery, so each task holds its words
     and no join is made.  A larger one is met block by block in a shuffled
-    join, as no task could hold it.
+    join, as no task could hold it; rows of a block that many rows ask for, as
+    where one url is that of a third of all pages, are salted.
     """
     if level.blocks == 1:
         words, joined = level.table.select("bits").scalar(), rows
     else:
         blocks = level.table.select(F.col("block").alias("_block"), F.col("bits").alias("_bits"))
-        joined = rows.join(blocks, _block(F.col(key), level.number, level.blocks) == F.col("_block"))
+        joined = join_salted(rows.withColumn("_block", _block(F.col(key), level.number, level.blocks)), blocks, "_block")
         words = F.col("_bits")
     tests = None
     for bit in _probes(F.col(key), level.number, level.words):
@@ -182,7 +185,8 @@ def filter_urls(
     cascade's universe is the keys of ``pages``.  A rule's verdict goes before
     the list's: block if the key is listed, else allow.
 
-    A null url or one without :// has the empty host and path, whose key is
+    Levels of up to ``max_words`` (about 6.7 million keys) are asked without a join.
+    Very long urls are keys like others.  A null url or one without :// has the empty host and path, whose key is
     never listed.  Repeated pages give repeated rows; an empty table gives
     none; other columns are ignored.
     """
