@@ -224,6 +224,16 @@ def test_index_capacity_is_a_parameter(spark):
         assert fetch.within_capacity(entries, size).filter("fits").count() == fits
 
 
+def test_stored_tables_can_be_discarded(spark):
+    from tideline.functions import scratch
+
+    one = scratch.stored(spark.range(5))
+    two = scratch.stored(one.filter("id > 2"))
+    scratch.discard(one)
+    assert one.stored_at not in scratch._MADE and two.count() == 2
+    assert not spark._jvm.java.io.File(one.stored_at.removeprefix("file://")).exists()
+
+
 def test_scratch_is_shared_on_a_cluster(spark):
     from types import SimpleNamespace
 

@@ -31,7 +31,22 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it back, which cuts its lineage."""
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned, once nothing reads them any more:
+    what was stored since does not, as its lineage is cut."""
+    for table in tables:
+        _MADE.remove(table.stored_at)
+        _delete(table.sparkSession, table.stored_at)
+
+
+def _delete(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_scratch(spark: SparkSession) -> int:
@@ -39,8 +54,7 @@ def clear_scratch(spark: SparkSession) -> int:
 
     Returns the number of folders that went.
     """
-    jvm, gone = spark._jvm, 0
+    gone = 0
     while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        gone += _delete(spark, _MADE.pop())
     return gone
