@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions.scratch import scratch_dir, stored
+from tideline.functions.scratch import discard, scratch_dir, stored
 
-__all__ = ["ascii_lower", "join_salted", "join_to_groups", "read", "scratch_dir", "stored", "values"]
+__all__ = ["ascii_lower", "discard", "join_salted", "join_to_groups", "read", "scratch_dir", "stored", "values"]
 
 #: Words are maximal runs of bytes outside these (space and \t \n \v \f \r).
 BLANKS = " \t\n\x0b\x0c\r"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tideline.llm.common import join_to_groups, stored
+from tideline.llm.common import discard, join_to_groups, stored
 
 MAX_ROUNDS = 60
 
@@ -37,7 +37,7 @@ def _state(edges: DataFrame) -> Row:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v); root is its least node.
+    """(node, root), stored, for every node of ``edges`` (u, v); root is its least node.
 
     Each round is a few shuffles of narrow rows and is written to the shared
     folder, so that lost executors cost one round at most.  A hub, however many
@@ -51,9 +51,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before or not now["n"]:
             break
         # Neither step makes more edges than there were.
-        edges = stored(_small_star(_large_star(edges, now["n"]), now["n"]))
+        last, edges = edges, stored(_small_star(_large_star(edges, now["n"]), now["n"]))
+        discard(last)
         before, now = now, _state(edges)
     else:
         raise RuntimeError(f"components are still moving after {MAX_ROUNDS} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    found = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots))
+    discard(edges)
+    return found

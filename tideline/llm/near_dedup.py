@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import join_salted, join_to_groups, stored, values
+from tideline.llm.common import discard, join_salted, join_to_groups, stored, values
 from tideline.llm.components import connected_components
 from tideline.llm.tokens import Cache
 
@@ -155,7 +155,7 @@ def least_estimate(threshold: float) -> float:
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """(bucket, band, node, hub) of all buckets of two classes or more."""
+    """(bucket, band, node, hub), stored, of all buckets of two classes or more."""
     order = F.get(F.array(*[F.lit(mask) for mask in HUB_ORDERS]), F.col("band") % len(HUB_ORDERS))
     banded = classes.select("node", F.posexplode(buckets_of(F.col("bands"))).alias("band", "bucket"))
     # An exclusive or with a constant is an order of its own, and undone by another.
@@ -163,11 +163,10 @@ def bucket_members(classes: DataFrame) -> DataFrame:
         F.min(F.col("node").bitwiseXOR(order)).alias("least"), F.count("*").alias("size")
     )
     shared = stored(least.filter("size > 1"))
-    return (
-        join_to_groups(banded, shared, "bucket", "size")
-        .filter("size is not null")
-        .select("bucket", "band", "node", F.col("least").bitwiseXOR(order).alias("hub"))
-    )
+    found = join_to_groups(banded, shared, "bucket", "size").filter("size is not null")
+    members = stored(found.select("bucket", "band", "node", F.col("least").bitwiseXOR(order).alias("hub")))
+    discard(shared)
+    return members
 
 
 def near_pairs(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -391,24 +390,29 @@ def _judged(own: DataFrame, width: int, threshold: float) -> DataFrame:
         .agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.count("*").alias("copies"))
     )
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
-    members = stored(bucket_members(classes))
-    stars = members.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    near = stored(near_pairs(stored(stars), classes, threshold))
+    members = bucket_members(classes)
+    stars = stored(members.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
+    near = stored(near_pairs(stars, classes, threshold))
     ends = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct()
     sets = stored(sets_of(ends, own, classes, width))
-    labels = stored(connected_components(confirmed(near, sets, threshold)))
+    labels = connected_components(confirmed(near, sets, threshold))
+    discard(stars, near, sets)
     more = stored(links_within_buckets(members, labels, classes, own, width, threshold))
     if not more.isEmpty():
         tied = labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        labels = stored(connected_components(tied.unionByName(more)))
+        last, labels = labels, connected_components(tied.unionByName(more))
+        discard(last)
+    discard(members, more)
 
     named = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = (
+    smallest = stored(
         named.groupBy("root")
         .agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size"))
         .filter("size > 1")
     )
-    groups = stored(join_to_groups(named, stored(smallest), "root", "size").filter("size is not null").select("set_key", "component_id", F.col("copies").alias("n")))
+    grouped = join_to_groups(named, smallest, "root", "size").filter("size is not null")
+    groups = stored(grouped.select("set_key", "component_id", F.col("copies").alias("n")))
+    discard(classes, labels, smallest)
     found = join_to_groups(rows.select("doc_id", "text_key", "n_shingles", "set_key"), groups, "set_key", "n")
     alone = F.col("n").isNull()
     return found.select(
