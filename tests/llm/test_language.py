@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import random
+import re
 import string
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -27,6 +29,41 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_grams(text):
+    lower = text.encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)))
+    folded = b" " + b" ".join(re.findall(rb"[a-z\x80-\xff]+", lower)) + b" "
+    return [folded[i : i + 5] for i in range(len(folded) - 4)]
+
+
+def test_query_equals_exact_sets(spark):
+    """Plain sets of n-grams in place of filters: answers differ only where two languages are close."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    seen = defaultdict(Counter)
+    for d in docs:
+        if d["lang"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 5:
+            seen[d["lang"]].update(plain_grams(d["text"]))
+    known = {lang: {g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: language.FILTER_NGRAMS]} for lang, c in seen.items()}
+    found = {r["doc_id"]: r["lang_pred"] for r in queries.queries()["op9_language_id"](spark, DATA).collect()}
+    assert len(found) == len(docs)
+    for d in docs:
+        if not any(map(str.isalpha, d["text"] or "")):
+            assert found[d["doc_id"]] == "und"
+            continue
+        hits = {lang: sum(g in own for g in plain_grams(d["text"])) for lang, own in known.items()}
+        best = max(hits.values())
+        # False positives add at most a few hits of a text's n-grams.
+        assert hits[found[d["doc_id"]]] >= best - 1 - 0.005 * len(plain_grams(d["text"]))
+
+
+def test_very_long_texts(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language.learn(language.for_learning(docs))
+    text = docs.filter("length(text) > 300").first()["text"]
+    rows = [fixtures.row(1, text), fixtures.row(2, (text + " ") * (9_000_000 // len(text)))]
+    assert len({r["lang_pred"] for r in language.predict_languages(fixtures.documents(spark, rows), model).collect()}) == 1
+    assert language.with_known_language(fixtures.documents(spark, rows), model).count() == 2
+
+
 def test_answers_ignore_lang_and_source(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = language.learn(language.for_learning(docs))
