@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 #: Rows of a chunk, about.
-CHUNK_ROWS = 500_000
+CHUNK_ROWS = 200_000
 
 
 def chunk_by_count(rows: DataFrame, keys: Sequence[str], at: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
